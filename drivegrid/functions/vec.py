@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from drivegrid.functions.num import clamp, lit
+from drivegrid.functions.num import lit
 
 Vec = tuple[Column, Column, Column]
 Quat = tuple[Column, Column, Column, Column]
@@ -82,10 +82,20 @@ def heading(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.atan2(by - ay, bx - ax)
 
 
+def angle_between(ax, ay, bx, by) -> Column:
+    """Angle in [0, pi] between two directions; the absolute heading change a -> b."""
+    return F.atan2(F.abs(ax * by - ay * bx), ax * bx + ay * by)
+
+
+def axis_angle(ax, ay, bx, by) -> Column:
+    """Angle in [0, pi/2] between two lines, forward and reverse alike."""
+    return F.atan2(F.abs(ax * by - ay * bx), F.abs(ax * bx + ay * by))
+
+
 def turn_angle(px, py, x, y, nx, ny, shortest: float = 1.0e-9) -> Column:
     """Absolute heading change at (x, y); 0 when a neighbour is missing or too close."""
-    change = F.abs(normalize_angle(heading(x, y, nx, ny) - heading(px, py, x, y)))
     usable = (dist2(px, py, x, y) >= shortest) & (dist2(x, y, nx, ny) >= shortest)
+    change = angle_between(x - px, y - py, nx - x, ny - y)
     return F.when(usable, change).otherwise(F.lit(0.0))
 
 
@@ -154,42 +164,3 @@ def q_yaw(q: Quat) -> Column:
 def q_from_yaw(yaw: Column) -> Quat:
     half = yaw * 0.5
     return (F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
-
-
-def q_slerp(a: Quat, b: Quat, ratio: Column) -> Quat:
-    """Shortest-arc interpolation of unit quaternions."""
-    t = clamp(ratio, 0.0, 1.0)
-    raw = dot(a, b)
-    sign = F.when(raw < 0.0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    cosine = F.abs(raw)
-    b = tuple(part * sign for part in b)
-    blended = q_normalized(tuple(u + t * (v - u) for u, v in zip(a, b)))
-    theta = F.acos(clamp(cosine, -1.0, 1.0))
-    sine = F.sin(theta)
-    wa = F.sin((F.lit(1.0) - t) * theta) / sine
-    wb = F.sin(t * theta) / sine
-    return tuple(
-        F.when(cosine > SLERP_LINEAR_COSINE, near).otherwise(wa * u + wb * v)
-        for near, u, v in zip(blended, a, b)
-    )
-
-
-# --- rigid transforms: (translation, unit quaternion) -------------------------------------
-
-
-def t_apply(t: Vec, q: Quat, p: Vec) -> Vec:
-    return add(q_rotate(q, p), t)
-
-
-def t_inverse(t: Vec, q: Quat) -> tuple[Vec, Quat]:
-    inv = q_normalized(q_inverse(q))
-    return q_rotate_unit(inv, scale(t, -1.0)), inv
-
-
-def t_compose(ta: Vec, qa: Quat, tb: Vec, qb: Quat) -> tuple[Vec, Quat]:
-    return t_apply(ta, qa, tb), q_normalized(q_mul(qa, qb))
-
-
-def t_interpolate(ta: Vec, qa: Quat, tb: Vec, qb: Quat, ratio: Column) -> tuple[Vec, Quat]:
-    t = clamp(ratio, 0.0, 1.0)
-    return lerp(ta, tb, t), q_slerp(q_normalized(qa), q_normalized(qb), t)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from drivegrid.functions import frames
 from drivegrid.functions import vec as V
 from drivegrid.functions.num import clamp, finite
 from drivegrid.lib import ordered as O
@@ -35,7 +36,7 @@ def drop_invalid_poses(poses: DataFrame) -> DataFrame:
     rotation is returned normalised."""
     q = V.quat()
     ok = finite(*V.vec(), *q) & (V.q_norm2(q) >= 1.0e-15)
-    return poses.filter(ok).withColumns(dict(zip(("qx", "qy", "qz", "qw"), V.q_normalized(q))))
+    return frames.unit(poses.filter(ok))
 
 
 def dedupe_poses(poses: DataFrame) -> DataFrame:
@@ -220,16 +221,16 @@ def resample(poses: DataFrame, interval: float) -> DataFrame:
     )
     span = F.col("s_n1") - F.col("s")
     ratio = F.when(span > 1.0e-12, (F.col("target") - F.col("s")) / span).otherwise(F.lit(0.0))
-    k = k.withColumn("_r", ratio)
-    t, q = V.t_interpolate(
-        V.vec(), V.quat(), V.vec(suffix="_n1"), V.quat(suffix="_n1"), F.col("_r")
-    )
-    dt = (F.col("stamp_ns_n1") - F.col("stamp_ns")).cast("double")
+    k = k.withColumn("_r", clamp(ratio, 0.0, 1.0))
+    after = [*frames.PARTS, "stamp_ns"]
+    k = k.withColumnsRenamed({f"{c}_n1": f"b_{c}" for c in after})
+    k = frames.interpolate(k, "", "b_", F.col("_r"), "o_")
+    dt = (F.col("b_stamp_ns") - F.col("stamp_ns")).cast("double")
     samples = k.select(
         "run_id",
         F.col("k").alias("i"),
         (F.col("stamp_ns") + F.floor(F.col("_r") * dt + 0.5)).alias("stamp_ns"),
-        *[c.alias(n) for c, n in zip((*t, *q), cols[1:])],
+        *[F.col(f"o_{n}").alias(n) for n in frames.PARTS],
         F.col("target").alias("s"),
     )
     ends = _run_ends(line, cols, interval)
@@ -264,42 +265,30 @@ def _run_ends(line: DataFrame, cols, interval: float) -> DataFrame:
     ).drop("i")
 
 
-def body_axis_error(path_heading: Column, yaw: Column) -> Column:
-    """Angle between travel and the body's long axis; forward and reverse count alike."""
-    d = F.abs(V.normalize_angle(path_heading - yaw))
-    return F.least(d, F.lit(math.pi) - d)
-
-
 def jitter_candidates(poses: DataFrame) -> DataFrame:
     """Poses that start a two-sample lateral excursion, with the corrected positions of the
     pose and its successor (x_fix, y_fix, x_fix2, y_fix2)."""
     work = poses.withColumn("yaw", V.q_yaw(V.quat()))
-    near = O.with_neighbours(work, RUN, "i", ["x", "y", "stamp_ns", "yaw"], back=1, ahead=2)
-    p = {k: (F.col(f"x{k}"), F.col(f"y{k}")) for k in ("_p1", "", "_n1", "_n2")}
-    before, first, second, after = p["_p1"], p[""], p["_n1"], p["_n2"]
-    near = near.withColumns(
-        {
-            "_l_in": V.dist2(*before, *first),
-            "_l_mid": V.dist2(*first, *second),
-            "_l_out": V.dist2(*second, *after),
-            "_h_in": V.heading(*before, *first),
-            "_h_mid": V.heading(*first, *second),
-            "_h_out": V.heading(*second, *after),
-        }
-    )
+    work = work.withColumns({"bx": F.cos("yaw"), "by": F.sin("yaw")})
+    near = O.with_neighbours(work, RUN, "i", ["x", "y", "stamp_ns", "yaw", "bx", "by"], back=1, ahead=2)
     c = F.col
-    turn = lambda a, b: F.abs(V.normalize_angle(a - b))
+    p = {k: (c(f"x{k}"), c(f"y{k}")) for k in ("_p1", "", "_n1", "_n2")}
+    before, first, second, after = p["_p1"], p[""], p["_n1"], p["_n2"]
+    go = lambda a, b: (b[0] - a[0], b[1] - a[1])
+    into, across, out = go(before, first), go(first, second), go(second, after)
+    size = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1])
+    body, body_n = (c("bx"), c("by")), (c("bx_n1"), c("by_n1"))
     ok = (
-        (c("_l_in") > 1e-9) & (c("_l_mid") > 1e-9) & (c("_l_out") > 1e-9)
-        & (c("_l_mid") <= JITTER_MAX_SPAN_M)
-        & (turn(c("_h_mid"), c("_h_in")) + 1e-12 >= JITTER_MIN_TURN)
-        & (turn(c("_h_out"), c("_h_mid")) + 1e-12 >= JITTER_MIN_TURN)
-        & (turn(c("_h_out"), c("_h_in")) <= JITTER_MAX_OUTER_CHANGE)
-        & (body_axis_error(c("_h_in"), c("yaw")) <= JITTER_MAX_OUTER_AXIS_ERROR)
-        & (body_axis_error(c("_h_out"), c("yaw_n1")) <= JITTER_MAX_OUTER_AXIS_ERROR)
-        & (body_axis_error(c("_h_mid"), c("yaw")) > JITTER_MIN_INNER_AXIS_ERROR)
-        & (body_axis_error(c("_h_mid"), c("yaw_n1")) > JITTER_MIN_INNER_AXIS_ERROR)
-        & (turn(c("yaw_n1"), c("yaw")) <= JITTER_MAX_YAW_CHANGE)
+        (size(into) > 1e-9) & (size(across) > 1e-9) & (size(out) > 1e-9)
+        & (size(across) <= JITTER_MAX_SPAN_M)
+        & (V.angle_between(*into, *across) + 1e-12 >= JITTER_MIN_TURN)
+        & (V.angle_between(*across, *out) + 1e-12 >= JITTER_MIN_TURN)
+        & (V.angle_between(*into, *out) <= JITTER_MAX_OUTER_CHANGE)
+        & (V.axis_angle(*into, *body) <= JITTER_MAX_OUTER_AXIS_ERROR)
+        & (V.axis_angle(*out, *body_n) <= JITTER_MAX_OUTER_AXIS_ERROR)
+        & (V.axis_angle(*across, *body) > JITTER_MIN_INNER_AXIS_ERROR)
+        & (V.axis_angle(*across, *body_n) > JITTER_MIN_INNER_AXIS_ERROR)
+        & (V.angle_between(*body, *body_n) <= JITTER_MAX_YAW_CHANGE)
     )
     span = (c("stamp_ns_n2") - c("stamp_ns_p1")).cast("double")
 
