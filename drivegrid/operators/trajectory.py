@@ -305,13 +305,13 @@ def jitter_candidates(poses: DataFrame) -> DataFrame:
     )
 
 
-def choose_apart(cands: DataFrame, apart: int, keys=RUN, index: str = "i") -> DataFrame:
+def choose_apart(cands: DataFrame, apart: int, keys=RUN, index: str = "i", sized_by: DataFrame | None = None) -> DataFrame:
     """Greedy left-to-right choice of positions at least ``apart`` from the last chosen one.
 
     Candidates further apart than that never influence each other, so each cluster of close
     ones is solved alone, by one ``aggregate`` over its short array.
     """
-    dense = O.index_rows(cands.select(*keys, index), keys, [index], index="_n")
+    dense = O.index_rows(cands.select(*keys, index), keys, [index], index="_n", sized_by=sized_by)
     near = O.with_neighbours(dense, keys, "_n", [index], back=1, ahead=0)
     gap = F.coalesce(F.col(index) - F.col(f"{index}_p1"), F.lit(apart).cast("long"))
     grouped = O.islands(near, keys, "_n", gap >= apart, "_cluster")
@@ -331,7 +331,7 @@ def fix_position_jitter(poses: DataFrame) -> DataFrame:
     """Replace the planar position of isolated two-sample excursions; adds ``corrected`` and
     ``correction_m``. A chosen excursion covers two poses and blocks its two neighbours."""
     cands = jitter_candidates(poses)
-    chosen = cands.join(choose_apart(cands, 3), [*RUN, "i"], "left_semi")
+    chosen = cands.join(choose_apart(cands, 3, sized_by=poses), [*RUN, "i"], "left_semi")
     fixes = chosen.select("run_id", "i", F.col("x_fix").alias("_fx"), F.col("y_fix").alias("_fy")).unionByName(
         chosen.select("run_id", (F.col("i") + 1).alias("i"), F.col("x_fix2").alias("_fx"), F.col("y_fix2").alias("_fy"))
     )

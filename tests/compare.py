@@ -85,12 +85,12 @@ def main() -> int:
                 note = difference(got, want) or "ok"
             if note not in ("ok", "no check"):
                 failed.append(name)
-            print(f"{name:34s} {got.num_rows:8d} rows {took:6.2f}s {time.time()-t-took:6.2f}s {note}", flush=True)
+            print(f"@@ {name:34s} {got.num_rows:8d} rows {took:6.2f}s {time.time()-t-took:6.2f}s {note}", flush=True)
         except Exception as exc:  # noqa: BLE001
             failed.append(name)
-            text = str(exc).split("JVM stacktrace")[0][:900] if not os.environ.get("TRACE") else traceback.format_exc()
-            print(f"{name:34s} ERROR {type(exc).__name__}: {text}", flush=True)
-    print("failed:", failed)
+            text = " ".join(str(exc).split("JVM stacktrace")[0][:900].split()) if not os.environ.get("TRACE") else traceback.format_exc()
+            print(f"@@ {name:34s} ERROR {type(exc).__name__}: {text}", flush=True)
+    print("@@ failed:", failed)
     return 1 if failed else 0
 
 
