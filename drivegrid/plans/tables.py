@@ -87,8 +87,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the queries rely on: UTC, and enough tasks for steps that multiply
+    small inputs (AQE would otherwise merge them into one task by input bytes)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     base, columns, where = VIEWS[name]
     df = table(spark, sf_dir, base)
     if where:
