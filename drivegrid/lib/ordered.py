@@ -18,6 +18,31 @@ from drivegrid.session import cut_lineage
 
 CHUNK_ROWS = 65_536
 SMALL_GROUP_ROWS = 1_000_000
+_BOUND = "max_sequence_rows"
+
+
+def with_bound(df: DataFrame, index: str, rows: int | None) -> DataFrame:
+    """Note on the index column (column metadata) that no sequence is longer than ``rows``."""
+    if rows is None:
+        return df
+    return df.withColumn(index, F.col(index).alias(index, metadata={_BOUND: int(rows)}))
+
+
+def bound_of(df: DataFrame, index: str) -> int | None:
+    return (df.schema[index].metadata or {}).get(_BOUND)
+
+
+def measured(df: DataFrame, index: str = "i", source: DataFrame | None = None) -> DataFrame:
+    """Measure the longest sequence once (largest dense position) and note it on ``df``; a
+    cheaper ``source`` with the same positions may be measured instead."""
+    top = (df if source is None else source).agg(F.max(index)).first()[0]
+    return with_bound(df, index, 0 if top is None else top + 1)
+
+
+def is_small(df: DataFrame, index: str) -> bool:
+    """True only when a measurement has shown that every sequence fits one task."""
+    rows = bound_of(df, index)
+    return rows is not None and rows <= SMALL_GROUP_ROWS
 
 
 def chunk_of(index: str, rows: int) -> Column:
@@ -42,7 +67,8 @@ def index_rows(
     largest = (df if sized_by is None else sized_by).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest <= small_group:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(index, F.row_number().over(w).cast("long") - 1)
+        numbered = df.withColumn(index, F.row_number().over(w).cast("long") - 1)
+        return with_bound(numbered, index, largest)
     ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
     ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
@@ -81,7 +107,11 @@ def with_neighbours(
 
 
 def _with_halo(df, keys, index, back, ahead, rows):
-    """Rows copied to every chunk whose rows may look at them; window and home test."""
+    """Rows copied to every chunk whose rows may look at them; window and home test. A
+    sequence measured to be short is one chunk."""
+    if is_small(df, index):
+        one = df.withColumns({"_home": F.lit(0), "_chunk": F.lit(0)})
+        return one, Window.partitionBy(*keys).orderBy(index), F.lit(True)
     if rows <= back + ahead:
         raise ValueError("chunk must be longer than the neighbourhood")
     i = F.col(index)
@@ -132,9 +162,18 @@ def running(
     Chunk totals are one row per 65,536 inputs; their prefix is joined back by chunk, which
     has the same key as the inner window.
     """
-    base = df.withColumn("_chunk", chunk_of(index, rows))
-    key_chunk = [*keys, "_chunk"]
     order = F.col(index).desc() if reverse else F.col(index)
+    if is_small(df, index):
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns(
+            {
+                n: F.last(e, ignorenulls=True).over(w) if k == "last" else _KINDS[k](e).over(w)
+                for n, (k, e) in aggs.items()
+            }
+        )
+    # the rows are read twice below: freeze them, or chained calls would recompute 2^n times
+    base = cut_lineage(df.withColumn("_chunk", chunk_of(index, rows)))
+    key_chunk = [*keys, "_chunk"]
     inner = Window.partitionBy(*key_chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     chunk_order = F.col("_chunk").desc() if reverse else F.col("_chunk")
     before = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -171,7 +210,7 @@ def reindex(df: DataFrame, keys: Sequence[str], index: str, rows: int = CHUNK_RO
     """Close the gaps a filter left in a dense position, without a global sort.  Chunks are
     taken on the old position, so each still holds at most ``rows`` rows."""
     out = running(df, keys, index, {"_new": ("count", F.lit(1))}, rows=rows)
-    return out.withColumn(index, F.col("_new") - 1).drop("_new")
+    return with_bound(out.withColumn(index, F.col("_new") - 1).drop("_new"), index, bound_of(df, index))
 
 
 def islands(df, keys, index, start: Column, name: str = "island", rows: int = CHUNK_ROWS):

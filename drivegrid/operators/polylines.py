@@ -107,9 +107,13 @@ def slice_lines(line: DataFrame, spans: DataFrame, keys=EDGE, slice_key="slice_i
     cover = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col("s0"), size), bucket(F.col("s1"), size))))
     inner = line.withColumn("_b", bucket(F.col("s"), size)).join(cover.select(*keys, slice_key, "s0", "s1", "_b"), [*keys, "_b"])
     inner = inner.filter((F.col("s") > F.col("s0") + eps) & (F.col("s") < F.col("s1") - eps))
-    cols = [*keys, slice_key, "s", "_o", *values, *flags]
-    both = tips.select(*cols).unionByName(inner.withColumn("_o", F.lit(1)).withColumn("_v", F.col("i")).select(*cols))
-    return O.index_rows(both, [*keys, slice_key], ["s", "_o"]).drop("_o")
+    # inner vertices are consecutive, so one count per slice gives every position
+    per = inner.groupBy(*keys, slice_key).agg(F.min("i").alias("_lo"), F.count("*").alias("_inner"))
+    cols = [*keys, slice_key, "i", "s", *values, *flags]
+    ends_i = F.when(F.col("_o") == 0, F.lit(0).cast("long")).otherwise(F.coalesce("_inner", F.lit(0)) + 1)
+    tips = tips.join(per, [*keys, slice_key], "left").withColumn("i", ends_i).select(*cols)
+    inner = inner.join(per, [*keys, slice_key]).withColumn("i", F.col("i") - F.col("_lo") + 1).select(*cols)
+    return tips.unionByName(inner)
 
 
 def smooth_by_arc(line: DataFrame, window: float, keys=EDGE, passes: int = 2) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from drivegrid.functions.num import quantize, quantize_sql as Q
+from drivegrid.lib.ordered import measured
 from drivegrid.operators import polylines as pl
 from drivegrid.operators import trajectory as tr
 from drivegrid.plans.registry import query
@@ -21,7 +22,7 @@ tot AS (SELECT run_id, edge_id, max(s) AS total, count(*) AS n FROM arc GROUP BY
 
 
 def lines(spark, d):
-    return view(spark, d, "samples_v")
+    return measured(view(spark, d, "samples_v"))
 
 
 def arcs(spark, d):
