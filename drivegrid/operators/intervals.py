@@ -12,6 +12,7 @@ from drivegrid.lib import ordered as O
 from drivegrid.lib.buckets import bucket
 from drivegrid.operators import polylines as pl
 from drivegrid.operators.trajectory import arc_length
+from drivegrid.session import cut_lineage
 
 EDGE = pl.EDGE
 ARC_EPS = 1.0e-8
@@ -108,9 +109,9 @@ def edge_rules(rules: DataFrame, edges: DataFrame) -> DataFrame:
 
 def reverse_spans(spans: DataFrame, edges: DataFrame) -> DataFrame:
     """Spans seen from the reverse partner: mirrored and scaled to its length."""
-    e = edges.select("run_id", F.col("edge_id").alias("_e"), "reverse_of", F.col("length").alias("_l"))
+    e = edges.select(*EDGE, "reverse_of", F.col("length").alias("_l"))
     p = edges.select("run_id", F.col("edge_id").alias("reverse_of"), F.col("length").alias("_r"))
-    j = spans.join(e, (spans.run_id == e.run_id) & (spans.edge_id == e._e)).drop(e.run_id).join(p, ["run_id", "reverse_of"])
+    j = spans.join(e, EDGE).join(p, ["run_id", "reverse_of"])
     k = F.when(F.col("_l") > 1.0e-12, F.col("_r") / F.col("_l")).otherwise(F.lit(1.0))
     at = lambda c: clamp((F.col("_l") - F.col(c)) * k, 0.0, F.col("_r"))
     keep = [c for c in spans.columns if c not in ("edge_id", "start_s", "end_s")]
@@ -154,7 +155,9 @@ def apply_rules(edges: DataFrame, nodes: DataFrame, arc: DataFrame, rules: DataF
     are shared by a reverse pair: their key is the physical edge and the place to 1 nm.  New
     node and edge ids follow the largest id in use, in (source edge, start) order.
     """
-    breaks = sync_reverse_breaks(rules, edges, arc)
+    # every table below is read several times: freeze it once instead of recomputing it
+    rules, arc, edges = cut_lineage(rules), cut_lineage(arc), cut_lineage(edges)
+    breaks = cut_lineage(sync_reverse_breaks(rules, edges, arc))
     pieces = pieces_of(breaks.drop("collapsed"), min_len=ARC_EPS)
     cover = rule_at_interval(pieces, rules.select(*EDGE, "start_s", "end_s", "no_entry", "effective_passable", "effective_speed", "feature_ids"))
     first = F.min_by(F.struct("no_entry", "effective_passable", "effective_speed", "feature_ids"), "span_start")
@@ -168,7 +171,7 @@ def apply_rules(edges: DataFrame, nodes: DataFrame, arc: DataFrame, rules: DataF
         kids = kids.filter(~F.col("no_entry"))
     kids = O.index_rows(kids, ["run_id"], ["edge_id", "start_s"], index="ord")
     src = edges.select(*EDGE, "from_id", "to_id", "reverse_of", "length")
-    kids = kids.join(src, EDGE)
+    kids = cut_lineage(kids.join(src, EDGE))
     ends = kids.select(*EDGE, "ord", F.explode(F.array(F.struct(F.lit(0).alias("o"), F.col("start_s").alias("t")), F.struct(F.lit(1).alias("o"), F.col("end_s").alias("t")))).alias("e"))
     at = pl.sample_at_arc(arc, ends.select(*EDGE, "ord", "e.o", "e.t"))
     inner0, inner1 = F.col("start_s") > ARC_EPS, F.col("end_s") < F.col("length") - ARC_EPS
@@ -177,7 +180,7 @@ def apply_rules(edges: DataFrame, nodes: DataFrame, arc: DataFrame, rules: DataF
     at = at.join(kids.select("run_id", "ord", "reverse_of", inner0.alias("i0"), inner1.alias("i1"), "from_id", "to_id"), ["run_id", "ord"])
     cutting = F.when(F.col("o") == 0, F.col("i0")).otherwise(F.col("i1"))
     physical = F.least("edge_id", F.coalesce("reverse_of", "edge_id"))
-    at = at.withColumns({"cut": cutting, "phys": physical})
+    at = cut_lineage(at.withColumns({"cut": cutting, "phys": physical}))
     key = ["run_id", "phys", "kx", "ky", "kz"]
     new = at.filter("cut").groupBy(*key).agg(F.min_by(F.struct("x", "y", "z"), "ord").alias("p"))
     new = O.index_rows(new, ["run_id"], ["phys", "kx", "ky", "kz"], index="n")
@@ -186,7 +189,8 @@ def apply_rules(edges: DataFrame, nodes: DataFrame, arc: DataFrame, rules: DataF
     tops = top.join(tope, "run_id").select("run_id", F.greatest("_mn", "_me").alias("_top"))
     sizes = new.groupBy("run_id").agg(F.count("*").alias("_new"))
     tops = tops.join(sizes, "run_id", "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
-    new = new.join(tops.select("run_id", "_top"), "run_id").select(*key, (F.col("_top") + 1 + F.col("n")).alias("new_id"), "p")
+    tops = cut_lineage(tops)
+    new = cut_lineage(new.join(tops.select("run_id", "_top"), "run_id").select(*key, (F.col("_top") + 1 + F.col("n")).alias("new_id"), "p"))
     at = at.join(new.drop("p"), key, "left")
     node = F.coalesce(F.when(F.col("cut"), F.col("new_id")), F.when(F.col("o") == 0, F.col("from_id")).otherwise(F.col("to_id")))
     tips = at.withColumn("node", node).groupBy("run_id", "ord").agg(
@@ -194,6 +198,7 @@ def apply_rules(edges: DataFrame, nodes: DataFrame, arc: DataFrame, rules: DataF
     )
     lineage = kids.select("run_id", "ord", F.col("edge_id").alias("source_edge_id"), F.col("start_s").alias("s0"), F.col("end_s").alias("s1"), "no_entry", "effective_passable", "effective_speed", "feature_ids")
     lineage = lineage.join(tops, "run_id").withColumn("edge_id", F.col("_top") + F.col("_new") + 1 + F.col("ord")).drop("_top", "_new")
+    lineage = cut_lineage(lineage)
     out_edges = lineage.join(tips, ["run_id", "ord"]).select(
         "run_id", "edge_id", "from_id", "to_id", (F.col("s1") - F.col("s0")).alias("length"), F.col("effective_speed").alias("speed"), F.col("effective_passable").alias("passable")
     )

@@ -254,7 +254,8 @@ def split_route(line: DataFrame, max_length: float, turn_deg: float = 75.0) -> t
     near = O.running(near, run, "i", {"_to": ("last", c("_out"))}, reverse=True)
     turn = F.coalesce(V.angle_between(c("_ti.x"), c("_ti.y"), c("_to.x"), c("_to.y")), F.lit(0.0))
     cut = (c("i") > 0) & ~c("_end") & (turn >= math.radians(turn_deg))
-    near = near.withColumn("_cut", cut).drop("_into", "_out", "_ti", "_to")
+    near = cut_lineage(near.withColumn("_cut", cut).drop("_into", "_out", "_ti", "_to"))
+    arc = near.select("run_id", "i", "x", "y", "z", "s")
     # span bounds: every break vertex ends one span and starts the next
     marks = near.filter((c("i") == 0) | c("_cut") | c("_end")).select("run_id", "i", "s")
     marks = O.index_rows(marks, run, ["i"], index="k", sized_by=line)
@@ -276,6 +277,7 @@ def split_route(line: DataFrame, max_length: float, turn_deg: float = 75.0) -> t
     edges = start.join(stop, ["run_id", "ord"]).join(count, "run_id").select(
         "run_id", (c("_edges") + 2 + c("ord")).alias("edge_id"), (c("ord") + 1).alias("from_id"), (c("ord") + 2).alias("to_id"), "s0", "s1"
     )
+    edges = cut_lineage(edges)
     points = slice_lines(arc, edges.select("run_id", "edge_id", "s0", "s1"), run, "edge_id", ZERO_ARC)
     return edges, points
 

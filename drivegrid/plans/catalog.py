@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from drivegrid.plans import cell_queries, interval_queries, polyline_queries, spatial_queries, registration_queries, trajectory_queries  # noqa: F401
+from drivegrid.plans import cell_queries, graph_queries, interval_queries, polyline_queries, spatial_queries, registration_queries, trajectory_queries  # noqa: F401
 from drivegrid.plans.registry import CHECKS, QUERIES  # noqa: F401
 
 
