@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from drivegrid.operators import cells as ce
 from drivegrid.operators import trajectory as tr
 from drivegrid.plans import (  # noqa: F401
+    authoring_queries,
     cell_queries,
     function_queries,
     graph_queries,
