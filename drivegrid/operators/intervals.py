@@ -31,7 +31,7 @@ def merge_spans(spans: DataFrame, keys=EDGE, eps: float = ARC_EPS, size: float =
     # equal starts keep only the longest: duplicates shrink before the ordered step
     cut = cut.groupBy(*keys, "_b", "start_s").agg(F.max("end_s").alias("end_s"))
     local = _merge(cut, [*keys, "_b"], eps)
-    return _merge(local.drop("_b"), list(keys), eps).filter(F.col("end_s") > F.col("start_s") + eps)
+    return _stitch(local.drop("_b"), list(keys), eps).filter(F.col("end_s") > F.col("start_s") + eps)
 
 
 def _merge(spans, keys, eps):
@@ -42,16 +42,28 @@ def _merge(spans, keys, eps):
     return isl.groupBy(*keys, "_island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("_island")
 
 
+def _stitch(spans, keys, eps):
+    """Join bucket results that touch: they are disjoint and ordered already, so only the row
+    before matters and a key with very many of them is cut into chunks."""
+    seq = O.index_rows(spans, keys, ["start_s", "end_s"], index="_k")
+    near = O.with_neighbours(seq, keys, "_k", ["end_s"], back=1, ahead=0)
+    new = F.coalesce(F.col("start_s") > F.col("end_s_p1") + eps, F.lit(True))
+    isl = O.islands(near, keys, "_k", new, "_island")
+    return isl.groupBy(*keys, "_island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).drop("_island")
+
+
 def elementary_breaks(breaks: DataFrame, keys=EDGE, eps: float = ARC_EPS) -> DataFrame:
     """Distinct break positions ``s`` per key; of positions closer than ``eps`` the first stays."""
-    d = breaks.select(*keys, "s").distinct()
-    w = Window.partitionBy(*keys).orderBy("s")
-    return d.withColumn("_p", F.lag("s").over(w)).filter(F.col("_p").isNull() | (F.col("s") - F.col("_p") >= eps)).drop("_p")
+    d = O.index_rows(breaks.select(*keys, "s").distinct(), keys, ["s"], index="_k", sized_by=breaks)
+    d = O.with_neighbours(d, keys, "_k", ["s"], back=1, ahead=0)
+    return d.filter(F.col("s_p1").isNull() | (F.col("s") - F.col("s_p1") >= eps)).drop("s_p1", "_k")
 
 
-def pieces_of(breaks: DataFrame, keys=EDGE, min_len: float = 1.0e-9) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("s")
-    p = breaks.withColumn("end_s", F.lead("s").over(w)).withColumnRenamed("s", "start_s")
+def pieces_of(breaks: DataFrame, keys=EDGE, min_len: float = 1.0e-9, sized_by: DataFrame | None = None) -> DataFrame:
+    """Intervals between consecutive breaks."""
+    d = O.index_rows(breaks, keys, ["s"], index="_k", sized_by=sized_by)
+    p = O.with_neighbours(d, keys, "_k", ["s"], back=0, ahead=1).drop("_k")
+    p = p.withColumnsRenamed({"s": "start_s", "s_n1": "end_s"})
     return p.filter(F.col("end_s") > F.col("start_s") + min_len)
 
 
@@ -78,7 +90,8 @@ def segment_rules(spans: DataFrame, edges: DataFrame) -> DataFrame:
     own = spans.join(e.select(*EDGE, "length"), EDGE)
     ends = own.select(*EDGE, F.explode(F.array(clamp(F.col("start_s"), 0.0, F.col("length")), clamp(F.col("end_s"), 0.0, F.col("length")))).alias("s"))
     borders = e.select(*EDGE, F.explode(F.array(F.lit(0.0), F.col("length"))).alias("s"))
-    pieces = pieces_of(elementary_breaks(ends.unionByName(borders)))
+    all_breaks = ends.unionByName(borders)
+    pieces = pieces_of(elementary_breaks(all_breaks), sized_by=all_breaks)
     hit = rule_at_interval(pieces, spans)
     piece = [*EDGE, "start_s", "end_s"]
     rules = hit.groupBy(*piece).agg(

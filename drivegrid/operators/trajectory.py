@@ -17,6 +17,7 @@ from drivegrid.functions import frames
 from drivegrid.functions import vec as V
 from drivegrid.functions.num import clamp, finite
 from drivegrid.lib import ordered as O
+from drivegrid.session import cut_lineage
 
 RUN = ["run_id"]
 NS = 1.0e-9
@@ -138,8 +139,6 @@ def remove_stationary(poses: DataFrame, min_distance: float, chunk_rows: int = 1
 
 
 def _stationary_keep(slim: DataFrame, min_distance: float, chunk_rows: int) -> DataFrame:
-    from drivegrid.session import cut_lineage
-
     limit = float(min_distance)
 
     def scan(key, pdf):
@@ -305,26 +304,43 @@ def jitter_candidates(poses: DataFrame) -> DataFrame:
     )
 
 
-def choose_apart(cands: DataFrame, apart: int, keys=RUN, index: str = "i", sized_by: DataFrame | None = None) -> DataFrame:
+def choose_apart(cands: DataFrame, apart: int, keys=RUN, index: str = "i", sized_by: DataFrame | None = None, solo_rows: int = 10_000) -> DataFrame:
     """Greedy left-to-right choice of positions at least ``apart`` from the last chosen one.
 
     Candidates further apart than that never influence each other, so each cluster of close
-    ones is solved alone, by one ``aggregate`` over its short array.
+    ones is solved alone, by one ``aggregate`` over its short array.  If a cluster is longer
+    than ``solo_rows``, the choice is followed by pointer doubling instead: every candidate
+    points to the first one far enough ahead, and what the cluster heads reach is chosen.
     """
     dense = O.index_rows(cands.select(*keys, index), keys, [index], index="_n", sized_by=sized_by)
-    near = O.with_neighbours(dense, keys, "_n", [index], back=1, ahead=0)
+    near = O.with_neighbours(dense, keys, "_n", [index], back=1, ahead=apart)
     gap = F.coalesce(F.col(index) - F.col(f"{index}_p1"), F.lit(apart).cast("long"))
-    grouped = O.islands(near, keys, "_n", gap >= apart, "_cluster")
-    lists = grouped.groupBy(*keys, "_cluster").agg(F.array_sort(F.collect_list(index)).alias("c"))
-    chosen = F.aggregate(
-        F.col("c"),
-        F.array().cast("array<bigint>"),
-        lambda acc, v: F.when(
-            (F.size(acc) == 0) | (v - F.try_element_at(acc, F.lit(-1)) >= apart),
-            F.concat(acc, F.array(v)),
-        ).otherwise(acc),
-    )
-    return lists.select(*keys, F.explode(chosen).alias(index))
+    ahead = [F.col(f"{index}_n{k}") for k in range(1, apart + 1)]
+    nxt = F.coalesce(*[F.when(v >= F.col(index) + apart, v) for v in ahead])
+    near = cut_lineage(near.withColumns({"_head": gap >= apart, "_next": nxt}).select(*keys, index, "_n", "_head", "_next"))
+    near = O.with_bound(near, "_n", O.bound_of(dense, "_n"))
+    grouped = O.islands(near, keys, "_n", F.col("_head"), "_cluster")
+    longest = grouped.groupBy(*keys, "_cluster").count().agg(F.max("count")).first()[0] or 0
+    if longest <= solo_rows:
+        lists = grouped.groupBy(*keys, "_cluster").agg(F.array_sort(F.collect_list(index)).alias("c"))
+        chosen = F.aggregate(
+            F.col("c"),
+            F.array().cast("array<bigint>"),
+            lambda acc, v: F.when(
+                (F.size(acc) == 0) | (v - F.try_element_at(acc, F.lit(-1)) >= apart),
+                F.concat(acc, F.array(v)),
+            ).otherwise(acc),
+        )
+        return lists.select(*keys, F.explode(chosen).alias(index))
+    reached = cut_lineage(near.filter("_head").select(*keys, index))
+    jump = near.filter(F.col("_next").isNotNull()).select(*keys, index, "_next")
+    for _ in range(max(1, math.ceil(math.log2(longest)) + 1)):
+        jump = cut_lineage(jump)
+        step = reached.join(jump, [*keys, index]).select(*keys, F.col("_next").alias(index))
+        reached = cut_lineage(reached.unionByName(step).distinct())
+        far = jump.select(*keys, F.col(index).alias("_next"), F.col("_next").alias("_n2"))
+        jump = jump.join(far, [*keys, "_next"]).select(*keys, index, F.col("_n2").alias("_next"))
+    return reached
 
 
 def fix_position_jitter(poses: DataFrame) -> DataFrame:

@@ -69,3 +69,10 @@ def test_merge_spans_over_bucket_borders(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 2.0), (1, 1, 1.5, 9.0), (1, 1, 9.0, 9.5), (1, 1, 20.0, 21.0), (1, 2, 3.0, 3.0)],
                                "run_id long, edge_id long, start_s double, end_s double")
     assert rows(iv.merge_spans(df, size=2.0), "edge_id", "start_s", "end_s") == [(1, 0.0, 9.5), (1, 20.0, 21.0)]
+
+
+def test_greedy_choice_by_doubling_equals_arrays(spark):
+    c = sequence(spark, 800).filter("k % 7 <> 3").select("run_id", F.col("k").alias("i"))
+    a = tr.choose_apart(c, 3)
+    b = tr.choose_apart(c, 3, solo_rows=5)
+    assert rows(a, "run_id", "i") == rows(b, "run_id", "i")
