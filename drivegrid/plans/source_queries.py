@@ -11,7 +11,7 @@ from drivegrid.operators import registration as reg
 from drivegrid.operators import cells as ce
 from drivegrid.plans.cell_queries import SUPPORT, classes, fixed_grid
 from drivegrid.plans.graph_queries import LINKS, links
-from drivegrid.plans.interval_queries import BASE, edges3, arcs3, spans
+from drivegrid.plans.interval_queries import BASE, RULES, arcs3, edges3, rules, spans
 from drivegrid.plans.polyline_queries import lines
 from drivegrid.plans.registry import query
 from drivegrid.plans.tables import table, view, with_views
@@ -169,3 +169,19 @@ def _(spark, d):
     px = img.select("run_id", (F.lit(19) - F.col("cy")).alias("row"), F.col("cx").alias("col"), "pixel", F.lit(20).alias("height"))
     c = ce.parse_trinary(px, False, 0.65, 0.196)
     return c.groupBy("run_id").agg(F.count_if("obstacle").alias("obstacle"), F.count_if("observed_free").alias("free"))
+
+
+@query("k12_edited_geojson", BASE + """ SELECT edge_id, CASE WHEN passable THEN 'VALID' ELSE 'INVALID' END AS status, CAST(50 AS INTEGER) AS points FROM edges""")
+def _(spark, d):
+    _, e, s = small_graph(spark, d)
+    e = e.withColumns({"provenance": F.lit("generated"), "status": F.when(F.col("passable"), "VALID").otherwise("INVALID"), "errors": F.array().cast("array<string>")})
+    g = gj.to_edited_geojson(e, s)
+    pts = F.from_json(F.get_json_object("value", "$.geometry.coordinates"), "array<array<double>>")
+    return g.select("edge_id", F.get_json_object("value", "$.properties.status").alias("status"), F.size(pts).alias("points"))
+
+
+@query("k13_rules_json", RULES + f""" SELECT rl.edge_id, {Q('start_s', 5)} AS start_s, no_entry FROM rl""")
+def _(spark, d):
+    _, r = rules(spark, d)
+    j = gj.to_rules_json(r)
+    return j.select("edge_id", quantize(F.get_json_object("value", "$.start_s").cast("double"), 5).alias("start_s"), F.get_json_object("value", "$.no_entry").cast("boolean").alias("no_entry"))

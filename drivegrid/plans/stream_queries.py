@@ -73,3 +73,12 @@ def _(spark, d):
     ops = raw.select((F.col("o_orderkey") % 10).alias("graph_id"), F.col("o_custkey").alias("entity_id"), F.col("o_orderkey").alias("op"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("add").alias("type"))
     out = drain(spark, jobs.stream_edits(ops))
     return out.groupBy("graph_id", "entity_id").agg(F.count("*").alias("ops"))
+
+
+@query("st1_stream_register", None)
+def _(spark, d):
+    """Events as poses; every third event, a minute later, asks for its pose."""
+    p = jobs.with_event_time(source(spark, d, "poses_v"))
+    s = jobs.with_event_time(source(spark, d, "poses_v").filter("seq % 3 = 0").select("run_id", F.col("seq").alias("scan_id"), (F.col("stamp_ns") + 60000000000).alias("stamp_ns")))
+    out = drain(spark, jobs.stream_register(s, p, "30 minutes", "31 minutes"))
+    return out.select("run_id", "scan_id", "stamp_ns", quantize(F.col("x")).alias("x"))

@@ -59,9 +59,9 @@ def test_stationary_removal_is_independent_of_chunks(spark):
 
 
 def test_simplify_levels_equal_single_pass(spark):
-    line = O.index_rows(sequence(spark, 400).withColumn("x", F.col("k") * 0.1), ["run_id"], ["k"])
+    line = O.index_rows(sequence(spark, 120).withColumn("x", F.col("k") * 0.1), ["run_id"], ["k"])
     a = pl.simplify(line, 0.4, ["run_id"])
-    b = pl.simplify(line, 0.4, ["run_id"], solo_rows=20)
+    b = pl.simplify(line, 0.4, ["run_id"], solo_rows=40)
     assert rows(a, "run_id", "k") == rows(b, "run_id", "k")
 
 
