@@ -201,7 +201,10 @@ def _(spark, d):
     return a.select("edge_id", "segments", q("planar_length"), q("spatial_length"), q("max_dz"), q("max_grade", 5), "max_grade_segment", "nonfinite_segments", "reason")
 
 
-@query("w16_chain_breaks", None)
+@query(
+    "w16_chain_breaks",
+    SPLIT + """ SELECT run_id, total + 2 + o AS edge_id, 'chronological_edge_chain_disconnected' AS code FROM ed WHERE (total + 2 + o) % 10 <> 3 AND (total + 1 + o) % 10 = 3 AND o >= 2""",
+)
 def _(spark, d):
     edges, points = pl.split_route(clean_line(spark, d), 0.25)
     gone = edges.filter("edge_id % 10 <> 3")

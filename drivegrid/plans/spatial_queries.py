@@ -171,7 +171,12 @@ def _(spark, d):
     return sp.polygon_overlaps(a, b, "a_id", "b_id").select("a_id", "b_id")
 
 
-@query("j17_polygon_contained", None)
+@query(
+    "j17_polygon_contained",
+    ARC2 + HEX + """, ct AS (SELECT feature_id, avg(x) AS mx, avg(y) AS my FROM hx GROUP BY 1), sv AS (SELECT h.run_id, h.feature_id AS a_id, h.i, mx + (x - mx) * 4e-1 AS x, my + (y - my) * 4e-1 AS y FROM hx h JOIN ct USING (feature_id)),
+iv AS (SELECT s.a_id, s.i, h.feature_id AS b_id FROM sv s JOIN he h ON h.run_id = s.run_id AND (h.y > s.y) <> (h.qy > s.y) AND h.x + (s.y - h.y) * (h.qx - h.x) / (h.qy - h.y) >= s.x GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)
+SELECT a_id, b_id FROM iv GROUP BY 1, 2 HAVING count(*) = 6""",
+)
 def _(spark, d):
     h = hexagons(spark, d)
     center = h.groupBy("run_id", "feature_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
@@ -281,7 +286,13 @@ def _(spark, d):
     return r.select("edge_id", "obstacle_samples", "unknown_samples", "outside_samples", "obstacle_cells", "unknown_cells", F.array_join("hard_errors", ",").alias("hard_errors"), "hard_valid")
 
 
-@query("a22_body_passage_totals", None)
+@query(
+    "a22_body_passage_totals",
+    BODY + """, ps AS (SELECT run_id, edge_id, i, bool_or(o) AS o, bool_or(o) OR bool_or(u) OR bool_or(outside) AS bad FROM ov GROUP BY 1, 2, 3),
+pe AS (SELECT run_id, edge_id, bool_or(bad) AS bad, count(*) FILTER (o) AS o FROM ps GROUP BY 1, 2)
+SELECT y.run_id, y.n AS total_samples, CAST(sum(o) AS BIGINT) AS obstacle_samples, count(*) FILTER (bad) AS hard_invalid_edges, count(*) FILTER (NOT bad) AS warning_edges, CAST(0 AS BIGINT) AS valid_edges, count(*) FILTER (bad) = 0 AS planning_body_passage_ready
+FROM pe JOIN (SELECT run_id, count(*) AS n FROM yp GROUP BY 1) y USING (run_id) GROUP BY y.run_id, y.n""",
+)
 def _(spark, d):
     p, o = overlap(spark, d)
     e = p.groupBy("run_id", "edge_id").agg(F.count("*").alias("sample_count")).withColumns({"planar_length": F.lit(1.0), "max_curvature": F.lit(0.4)})
