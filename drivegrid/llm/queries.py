@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from drivegrid.llm import exact_copies, mixing, packing, shards
+from drivegrid.llm import (
+    exact_copies,
+    jaccard_join,
+    languages,
+    licenses,
+    maxent,
+    mixing,
+    packing,
+    shards,
+    vector_links,
+    wrappers,
+)
 from drivegrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +35,25 @@ def query(name: str, check: str | None = None):
     return register
 
 
+@query("op1_scan_licenses")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_notices", "n_tags", "license_class")
+
+
+@query("op2_identify_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = languages.fit(docs.filter(~languages.held_out("doc_id")))
+    found = languages.predict(docs, model)
+    return found.select("doc_id", languages.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_link_vectors")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op4_shard_documents")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"))
@@ -40,6 +70,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.exact_copies(read(spark, sf_dir, "documents"))
 
 
+@query("op6_near_copies")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copies(read(spark, sf_dir, "documents"))
+
+
 @query("op7_mix_sources")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(read(spark, sf_dir, "documents"))
@@ -49,6 +84,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_extract_pages")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read(spark, sf_dir, "pages"))
+
+
 @query("op9_pack_documents")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
+
+
+@query("op10_score_documents")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read(spark, sf_dir, "documents"), languages.held_out("doc_id", 7))
