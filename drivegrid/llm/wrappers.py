@@ -371,7 +371,8 @@ def infer_wrappers(df: DataFrame, url: str = "url", source: str = "html", fan_in
                 if len(held) >= _HOSTS_AT_ONCE:
                     yield _table(held, part)
                     held = {}
-        yield _table(held, part)
+        if held:
+            yield _table(held, part)
 
     def _table(held, part):
         return pd.DataFrame({"host": list(held), "part": part, "wrapper": [json.dumps(w) for w in held.values()]})
