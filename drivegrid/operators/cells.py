@@ -414,7 +414,8 @@ def cell_partition_audit(cells: DataFrame, grid: DataFrame) -> DataFrame:
         F.count("*").alias("stored"), F.count_if(o).alias("obstacle"), F.count_if(f).alias("free"), F.count_if(u).alias("_u"),
         F.count_if(both).alias("overlapping"), F.count_if(~(o | f | u)).alias("unclassified"),
     )
-    return grid.join(a, "run_id").select(
+    counts = ["stored", "obstacle", "free", "_u", "overlapping", "unclassified"]
+    return grid.join(a, "run_id", "left").na.fill(0, counts).select(
         "run_id", (F.col("width") * F.col("height")).alias("cells"), "obstacle", "free",
         (F.col("_u") + F.col("width") * F.col("height") - F.col("stored")).alias("unknown"), "overlapping", "unclassified",
     )

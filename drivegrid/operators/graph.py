@@ -3,6 +3,7 @@ to_id, ...)."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -95,18 +96,18 @@ def revisit_places(pairs: DataFrame) -> DataFrame:
     return connected_components(pairs, a="a", b="b")
 
 
-def bounded_paths(edges: DataFrame, queries: DataFrame, max_hops: int = 64) -> DataFrame:
+def bounded_paths(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """Simple directed paths from ``from_node`` to ``to_node`` no longer than ``max_length``:
     ``run_id, query_id, paths, shortest, hops, ambiguous`` (another path ties within 1e-7).
 
     A level-by-level frontier join; a partial path is dropped as soon as it is too long or
-    meets a node twice, so the frontier is bounded by the length limit.
+    meets a node twice, so the loop ends when every path has arrived or is too long.
     """
     e = edges.select("run_id", F.col("edge_id").alias("e"), F.col("from_id").alias("node"), F.col("to_id").alias("nxt"), F.greatest("length", F.lit(1.0e-6)).alias("w"))
     start = queries.select("run_id", "query_id", F.col("from_node").alias("node"), "to_node", "max_length", F.lit(0.0).alias("len"), F.array("from_node").alias("seen"))
     trivial = start.filter("node = to_node").select("run_id", "query_id", F.lit(0.0).alias("len"), F.lit(0).alias("hops"))
     front, found = start.filter("node <> to_node"), [cut_lineage(trivial)]
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
         step = front.join(e, ["run_id", "node"]).withColumn("len", F.col("len") + F.col("w"))
         step = step.filter((F.col("len") <= F.col("max_length") + 1.0e-9) & ~F.array_contains("seen", F.col("nxt")))
         step = cut_lineage(step.select("run_id", "query_id", F.col("nxt").alias("node"), "to_node", "max_length", "len", F.array_append("seen", F.col("nxt")).alias("seen")))
@@ -286,11 +287,25 @@ def run_statistics(edges: DataFrame) -> DataFrame:
     )
 
 
-def edge_issues(edges: DataFrame, min_confidence: float) -> DataFrame:
-    """Blocked or low-confidence edges with their first reason, for reviewers."""
+def edge_issues(edges: DataFrame, min_confidence: float, lines: DataFrame | None = None) -> DataFrame:
+    """Blocked or low-confidence edges for reviewers, with a reason and, given the ``lines``
+    (run_id, edge_id, i, x, y, z), the point half way along. A passable edge is listed for its
+    confidence; a blocked one for its first error. Of two mirrored partners (``reverse_of``)
+    the one with the smaller id is listed."""
     bad = edges.filter(~F.col("passable") | (F.col("confidence") < min_confidence))
-    reason = F.coalesce(F.try_element_at("errors", F.lit(1)), F.when(~F.col("passable"), "impassable").otherwise("low_confidence"))
-    return bad.withColumn("reason", reason)
+    if "reverse_of" in edges.columns:
+        partner = edges.select("run_id", F.col("edge_id").alias("reverse_of")).withColumn("_twin", F.lit(True))
+        bad = bad.join(partner, ["run_id", "reverse_of"], "left").filter(F.col("_twin").isNull() | (F.col("edge_id") < F.col("reverse_of"))).drop("_twin")
+    reason = F.when(F.col("passable"), "low confidence").otherwise(F.coalesce(F.try_element_at("errors", F.lit(1)), F.lit("clearance failed")))
+    out = bad.withColumn("reason", reason).select(*edges.columns, "reason")
+    if lines is None:
+        return out
+    from drivegrid.operators import polylines as pl
+    from drivegrid.operators.trajectory import arc_length
+
+    arc = arc_length(lines, EDGE)
+    half = arc.groupBy(*EDGE).agg((F.max("s") / 2.0).alias("t"))
+    return out.join(pl.sample_at_arc(arc, half, EDGE).select(*EDGE, "x", "y", "z"), EDGE, "left")
 
 
 # --- checks ---------------------------------------------------------------------------------
@@ -381,61 +396,150 @@ def best_with_margin(scored: DataFrame, keys, score: str, value: str, margin: fl
 # --- edit log ---------------------------------------------------------------------------------
 
 
-def replay_edits(nodes: DataFrame, edges: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Graph after an ordered edit log, without replaying it row by row.
+def _edit_columns(ops: DataFrame) -> DataFrame:
+    """``ops`` with the optional columns and the operation names in one spelling."""
+    given = set(ops.columns)
+    add = {c: F.lit(None).cast("long") for c in ("reverse_id", "child1_reverse_id", "child2_reverse_id") if c not in given}
+    add |= {c: F.lit(v) for c, v in (("cascade", True), ("include_reverse", False)) if c not in given}
+    if "direction" not in given:
+        add["direction"] = F.lit("one_way")
+    out = ops.withColumns(add) if add else ops
+    kind = F.when(F.col("type") == "clear", "clear_graph").when(F.col("type") == "set_one_way", "set_direction").otherwise(F.col("type"))
+    way = F.when(F.col("type") == "set_one_way", "one_way").otherwise(F.coalesce("direction", F.lit("one_way")))
+    return out.withColumns({"direction": way, "type": kind})
 
-    ``ops``: run_id, op, type, node_id, edge_id, from_id, to_id, child1_id, child2_id,
-    new_node_id, x, y, z.  Types: add_node, move_node, delete_node, add_edge, delete_edge,
-    split_edge, set_one_way, clear.  Every op names the ids it creates, so each entity has a
-    birth and a first death after it; a node's place is its latest move.
+
+def _edit_lives(nodes: DataFrame, edges: DataFrame, ops: DataFrame):
+    """Lives of nodes and edges in an edit log: (nodes, edges, operations).
+
+    One id may live several times; a life begins with the operation that creates it (-1: the
+    graph given) and ends with the first one after that which removes it. Partners are pairs
+    made by one operation; what removes the partner of an edge removes the life that was
+    paired. An edge made by a split or as a reverse takes its ends from the life it comes from.
     """
     c = F.col
+    o = cut_lineage(_edit_columns(ops))
     base = F.lit(-1).cast("long")
-    born_n = nodes.select("run_id", "node_id", base.alias("birth"), "x", "y", "z").unionByName(
-        ops.filter("type = 'add_node'").select("run_id", "node_id", c("op").alias("birth"), "x", "y", "z")
-    ).unionByName(ops.filter("type = 'split_edge'").select("run_id", c("new_node_id").alias("node_id"), c("op").alias("birth"), "x", "y", "z"))
-    clears = ops.filter("type = 'clear'").select("run_id", "op")
-    kill_n = ops.filter("type = 'delete_node'").select("run_id", "node_id", c("op").alias("death"))
-    kids = ops.filter("type = 'split_edge'").select("run_id", "op", c("edge_id").alias("parent"), "child1_id", "child2_id", "new_node_id")
-    born_e = edges.select("run_id", "edge_id", base.alias("birth"), "from_id", "to_id").unionByName(
-        ops.filter("type = 'add_edge'").select("run_id", "edge_id", c("op").alias("birth"), "from_id", "to_id")
-    )
-    # children of children: one level per split depth
-    level, all_e = born_e, born_e
+    of = lambda kind: o.filter(c("type") == kind)
+    node_born = nodes.select("run_id", "node_id", base.alias("birth"), "x", "y", "z").unionByName(
+        of("add_node").select("run_id", "node_id", c("op").alias("birth"), "x", "y", "z")
+    ).unionByName(of("split_edge").select("run_id", c("new_node_id").alias("node_id"), c("op").alias("birth"), "x", "y", "z"))
+    both = of("add_edge").filter("direction = 'both'")
+    null = F.lit(None).cast("long")
+    known = edges.select("run_id", "edge_id", base.alias("birth"), "from_id", "to_id").unionByName(
+        of("add_edge").select("run_id", "edge_id", c("op").alias("birth"), "from_id", "to_id")
+    ).unionByName(both.select("run_id", c("reverse_id").alias("edge_id"), c("op").alias("birth"), c("to_id").alias("from_id"), c("from_id").alias("to_id")))
+    # made from another edge: which end is replaced by the new node, and whether it runs back
+    child = lambda id_, keep, back: F.struct(c(id_).alias("edge_id"), F.lit(keep).alias("keep"), F.lit(back).alias("back"))
+    four = F.array(child("child1_id", "from", False), child("child2_id", "to", False), child("child1_reverse_id", "from", True), child("child2_reverse_id", "to", True))
+    made = of("split_edge").select("run_id", "op", c("edge_id").alias("parent"), "new_node_id", F.explode(four).alias("k")).unionByName(
+        of("set_direction").filter("direction = 'both'").select("run_id", "op", c("edge_id").alias("parent"), null.alias("new_node_id"), child("reverse_id", "all", True).alias("k")))
+    made = cut_lineage(made.select("run_id", "op", "parent", "new_node_id", "k.*").filter("edge_id IS NOT NULL AND edge_id <> 0"))
+    births = known.select("run_id", "edge_id", "birth").unionByName(made.select("run_id", "edge_id", c("op").alias("birth")))
+    # the life of the parent that an operation meets is its latest one before
+    lives = births.select("run_id", c("edge_id").alias("parent"), c("birth").alias("parent_birth"))
+    made = made.join(lives, ["run_id", "parent"]).filter("parent_birth < op")
+    made = cut_lineage(made.groupBy("run_id", "op", "parent", "new_node_id", "edge_id", "keep", "back").agg(F.max("parent_birth").alias("parent_birth")))
+    level = known.withColumns({"parent": null, "parent_birth": null, "keep": F.lit("base")})
+    all_e = level
+    while True:  # one level per depth of splits
+        up = level.select("run_id", c("edge_id").alias("parent"), c("birth").alias("parent_birth"), "from_id", "to_id")
+        k = made.join(up, ["run_id", "parent", "parent_birth"])
+        a = F.when(c("keep") == "to", c("new_node_id")).otherwise(c("from_id"))
+        b = F.when(c("keep") == "from", c("new_node_id")).otherwise(c("to_id"))
+        level = cut_lineage(k.select("run_id", "edge_id", c("op").alias("birth"), F.when(c("back"), b).otherwise(a).alias("from_id"), F.when(c("back"), a).otherwise(b).alias("to_id"), "parent", "parent_birth", "keep"))
+        if level.isEmpty():
+            break
+        all_e = all_e.unionByName(level)
+    # partners
+    pair = lambda df, x, y, at: df.select("run_id", c(x).alias("a"), c(y).alias("b"), at.alias("since"))
+    pairs = pair(both, "edge_id", "reverse_id", c("op")).unionByName(pair(of("split_edge"), "child1_id", "child1_reverse_id", c("op"))).unionByName(
+        pair(of("split_edge"), "child2_id", "child2_reverse_id", c("op"))).unionByName(pair(of("set_direction").filter("direction = 'both'"), "edge_id", "reverse_id", c("op")))
+    if "reverse_of" in edges.columns:
+        pairs = pairs.unionByName(pair(edges, "edge_id", "reverse_of", base))
+    pairs = pairs.filter("b IS NOT NULL AND b <> 0")
+    pairs = pairs.unionByName(pairs.select("run_id", c("b").alias("a"), c("a").alias("b"), "since")).distinct()
+    takes = o.filter("type = 'split_edge' OR (type = 'delete_edge' AND include_reverse) OR (type = 'set_direction' AND direction = 'one_way')")
+    takes = takes.select("run_id", "op", c("edge_id").alias("a"))
+    current = takes.join(births.withColumnRenamed("edge_id", "a"), ["run_id", "a"]).filter("birth < op").groupBy("run_id", "op", "a").agg(F.max("birth").alias("birth"))
+    partner = current.join(pairs, ["run_id", "a"]).filter("since >= birth AND since < op").groupBy("run_id", "op", "a").agg(F.max_by("b", "since").alias("edge_id"), F.max("since").alias("since"))
+    # ends of lives
+    end = lambda df, id_: df.select("run_id", c(id_).alias("edge_id"), c("op").alias("death"), F.lit(None).cast("long").alias("since"))
+    kills = end(o.filter("type IN ('delete_edge', 'split_edge')"), "edge_id").unionByName(partner.select("run_id", "edge_id", c("op").alias("death"), "since"))
+    gone = of("delete_node").select("run_id", "node_id", c("op").alias("death"))
+    cascades = both_ends(all_e, "edge_id", "birth").join(of("delete_node").filter("cascade").select("run_id", "node_id", c("op").alias("death")), ["run_id", "node_id"])
+    clears = of("clear_graph").select("run_id", c("op").alias("death"))
+    e = births.join(kills, ["run_id", "edge_id"]).filter("death > birth AND (since IS NULL OR birth <= since)").select("run_id", "edge_id", "birth", "death")
+    e = e.unionByName(cascades.filter("death > birth").select("run_id", "edge_id", "birth", "death")).unionByName(
+        births.join(clears, "run_id").filter("death > birth").select("run_id", "edge_id", "birth", "death"))
+    edge_end = e.groupBy("run_id", "edge_id", "birth").agg(F.min("death").alias("death"))
+    lived_e = cut_lineage(all_e.join(edge_end, ["run_id", "edge_id", "birth"], "left"))
+    n = node_born.join(gone, ["run_id", "node_id"]).filter("death > birth").select("run_id", "node_id", "birth", "death").unionByName(
+        node_born.join(clears, "run_id").filter("death > birth").select("run_id", "node_id", "birth", "death"))
+    node_end = n.groupBy("run_id", "node_id", "birth").agg(F.min("death").alias("death"))
+    lived_n = cut_lineage(node_born.join(node_end, ["run_id", "node_id", "birth"], "left"))
+    # a child is real only if its parent was, and was alive when it was made
+    real = level = lived_e.filter("parent IS NULL")
+    waiting = lived_e.filter("parent IS NOT NULL")
     while True:
-        k = kids.join(level.select("run_id", c("edge_id").alias("parent"), "from_id", "to_id"), ["run_id", "parent"])
-        nxt = k.select("run_id", c("child1_id").alias("edge_id"), c("op").alias("birth"), "from_id", c("new_node_id").alias("to_id")).unionByName(
-            k.select("run_id", c("child2_id").alias("edge_id"), c("op").alias("birth"), c("new_node_id").alias("from_id"), "to_id"))
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        up = level.select("run_id", c("edge_id").alias("parent"), c("birth").alias("parent_birth"), F.coalesce("death", F.lit(2**63 - 1)).alias("_until"))
+        level = waiting.join(up, ["run_id", "parent", "parent_birth"]).filter("_until >= birth").select(*lived_e.columns)
+        level = cut_lineage(level)
+        if level.isEmpty():
             break
-        all_e, level = all_e.unionByName(nxt), nxt
-    kill_e = ops.filter("type IN ('delete_edge', 'split_edge', 'set_one_way')").select("run_id", "edge_id", c("op").alias("death"))
-    by_node = both_ends(all_e, "edge_id").join(kill_n, ["run_id", "node_id"]).select("run_id", "edge_id", "death")
-    alive_e = _alive(all_e, kill_e.unionByName(by_node), clears, "edge_id")
-    alive_n = _alive(born_n, kill_n, clears, "node_id")
-    moves = ops.filter("type = 'move_node'").groupBy("run_id", "node_id").agg(F.max_by(F.struct("x", "y", "z"), "op").alias("m"))
-    out_n = alive_n.join(moves, ["run_id", "node_id"], "left")
-    out_n = out_n.select("run_id", "node_id", *[F.coalesce(c(f"m.{a}"), c(a)).alias(a) for a in "xyz"], (c("birth") >= 0).alias("manual"))
-    return out_n, alive_e.select("run_id", "edge_id", "from_id", "to_id", (c("birth") >= 0).alias("manual"))
+        real = real.unionByName(level)
+    real = cut_lineage(real)
+    # a split that made no edge makes no node either
+    void = of("split_edge").select("run_id", c("op").alias("birth")).join(real.filter("parent IS NOT NULL").select("run_id", "birth").distinct(), ["run_id", "birth"], "left_anti")
+    return lived_n.join(void, ["run_id", "birth"], "left_anti"), real, o
 
 
-def _alive(born, deaths, clears, key):
-    d = deaths.withColumnRenamed("run_id", "_r").withColumnRenamed(key, "_k")
-    dead = born.join(d, (born.run_id == d._r) & (born[key] == d._k) & (d.death > born.birth), "left_semi").select("run_id", key, "birth")
-    last = clears.groupBy("run_id").agg(F.max("op").alias("_clear"))
-    left = born.join(dead, ["run_id", key, "birth"], "left_anti").join(last, "run_id", "left")
-    return left.filter(F.col("_clear").isNull() | (F.col("birth") > F.col("_clear"))).drop("_clear")
+def replay_edits(nodes: DataFrame, edges: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graph after an ordered edit log, without replaying it row by row.
+
+    ``ops``: run_id, op, type, node_id, edge_id, from_id, to_id, child1_id, child2_id,
+    new_node_id, x, y, z and optionally direction ('one_way' or 'both'), reverse_id,
+    child1_reverse_id, child2_reverse_id, cascade (true), include_reverse (false). Types:
+    clear_graph, add_node, move_node, delete_node, add_edge, delete_edge, split_edge,
+    set_direction. Every op names the ids it creates. A node's place is the latest move in its
+    own life. ``set_direction`` one_way keeps the edge and removes its reverse.
+    """
+    c = F.col
+    n, e, o = _edit_lives(nodes, edges, ops)
+    n = n.filter("death IS NULL")
+    moves = o.filter("type = 'move_node'").select("run_id", "node_id", "op", F.struct("x", "y", "z").alias("m"))
+    last = n.select("run_id", "node_id", "birth").join(moves, ["run_id", "node_id"]).filter("op > birth").groupBy("run_id", "node_id").agg(F.max_by("m", "op").alias("m"))
+    out_n = n.join(last, ["run_id", "node_id"], "left")
+    out_n = out_n.select("run_id", "node_id", *[F.coalesce(c(f"m.{a}"), c(a)).alias(a) for a in "xyz"], (c("birth") >= 0).alias("manual"))
+    return out_n, e.filter("death IS NULL").select("run_id", "edge_id", "from_id", "to_id", (c("birth") >= 0).alias("manual"))
 
 
 def invalid_edits(nodes: DataFrame, edges: DataFrame, ops: DataFrame) -> DataFrame:
-    """Operations that name an entity that never existed or create an id twice."""
-    born = nodes.select("run_id", F.col("node_id").alias("id")).unionByName(edges.select("run_id", F.col("edge_id").alias("id")))
-    made = ops.select("run_id", "op", F.explode(F.array_compact(F.array(
-        F.when(F.col("type") == "add_node", F.col("node_id")), F.when(F.col("type") == "add_edge", F.col("edge_id")), "child1_id", "child2_id", "new_node_id"))).alias("id"))
-    twice = made.join(born, ["run_id", "id"], "left_semi").select("run_id", "op", F.lit("duplicate_id").alias("code"))
-    known = born.unionByName(made.select("run_id", "id")).distinct()
-    used = ops.select("run_id", "op", F.explode(F.array_compact(F.array(
-        F.when(F.col("type").isin("move_node", "delete_node"), F.col("node_id")), F.when(F.col("type").isin("delete_edge", "split_edge", "set_one_way"), F.col("edge_id"))))).alias("id"))
-    missing = used.join(known, ["run_id", "id"], "left_anti").select("run_id", "op", F.lit("missing_entity").alias("code"))
-    return twice.unionByName(missing).distinct()
+    """Operations that name an entity that is not alive at that point (``missing_entity``),
+    create an id that is (``duplicate_id``), or remove a node whose edges they may not take
+    along (``incident_edges``): ``run_id, op, code``."""
+    c = F.col
+    ends = nodes if "x" in nodes.columns else nodes.withColumns({a: F.lit(0.0) for a in "xyz"})
+    n, e, o = _edit_lives(ends, edges, ops)
+    life = lambda df, id_, kind: df.select("run_id", c(id_).alias("id"), F.lit(kind).alias("kind"), "birth", F.coalesce("death", F.lit(2**63 - 1)).alias("death"))
+    lives = life(n, "node_id", "n").unionByName(life(e, "edge_id", "e"))
+    t = c("type")
+    entry = lambda cond, col, kind: F.when(cond & c(col).isNotNull(), F.struct(c(col).alias("id"), F.lit(kind).alias("kind")))
+    uses = F.array_compact(F.array(
+        entry(t.isin("move_node", "delete_node"), "node_id", "n"), entry(t.isin("delete_edge", "split_edge", "set_direction"), "edge_id", "e"),
+        entry(t == "add_edge", "from_id", "n"), entry(t == "add_edge", "to_id", "n")))
+    used = o.select("run_id", "op", F.explode(uses).alias("u")).select("run_id", "op", "u.*")
+    there = used.join(lives, ["run_id", "id", "kind"]).filter("birth < op AND death >= op").select("run_id", "op", "id", "kind").distinct()
+    missing = used.join(there, ["run_id", "op", "id", "kind"], "left_anti").select("run_id", "op", F.lit("missing_entity").alias("code"))
+    both = t.isin("add_edge", "set_direction") & (c("direction") == "both")
+    creates = F.array_compact(F.array(
+        F.when(t == "add_node", c("node_id")), F.when(t == "add_edge", c("edge_id")), F.when(both, c("reverse_id")),
+        *[F.when(t == "split_edge", c(k)) for k in ("child1_id", "child2_id", "child1_reverse_id", "child2_reverse_id", "new_node_id")]))
+    made = o.select("run_id", "op", F.explode(creates).alias("id")).filter("id <> 0")
+    twice = made.join(lives, ["run_id", "id"]).filter("birth < op AND death >= op").select("run_id", "op")
+    again = made.groupBy("run_id", "op", "id").count().filter("count > 1").select("run_id", "op")
+    dup = twice.unionByName(again).withColumn("code", F.lit("duplicate_id"))
+    bare = o.filter("type = 'delete_node' AND NOT cascade").select("run_id", "op", "node_id")
+    held = both_ends(e.withColumn("death", F.coalesce("death", F.lit(2**63 - 1))), "birth", "death").join(bare, ["run_id", "node_id"]).filter("birth < op AND death >= op")
+    held = held.select("run_id", "op", F.lit("incident_edges").alias("code"))
+    return missing.unionByName(dup).unionByName(held).distinct()

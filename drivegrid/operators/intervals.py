@@ -291,7 +291,7 @@ def insert_stops(line: DataFrame, stops: DataFrame, max_step: float, keys=EDGE,
     """Waypoints of a chain at most ``max_step`` apart with an exact one at each stop: rows
     ``keys.., i, s, x, y, z, stop_id``. A vertex within ``eps`` of a stop gives way to it."""
     dense = pl.densify(line, max_step, keys, planar=False)
-    dense = O.with_bound(dense, "i", O.SMALL_GROUP_ROWS) if O.is_small(line, "i") else dense
+    dense = O.measured(dense, "i") if O.is_small(line, "i") else dense
     arc = arc_length(dense, keys)
     at = pl.sample_at_arc(arc, stops.select(*keys, "stop_id", F.col("s").alias("t")), keys).withColumnRenamed("t", "s")
     size = 1.0

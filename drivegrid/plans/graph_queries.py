@@ -19,12 +19,14 @@ def links(spark, d):
     return view(spark, d, "links_v")
 
 
-# sparse graph: keeps chains, cycles and islands
-FEW = with_views("links_v") + """, few AS (SELECT * FROM links_v WHERE edge_id % 70 < 10)"""
+# the same links between more nodes, so that chains, cycles and islands are left
+SPREAD = "SELECT run_id, edge_id, length, passable, status, (from_id * 31 + edge_id) % 4001 AS from_id, (to_id * 37 + edge_id * 3) % 4001 AS to_id FROM links_v"
+FEW = with_views("links_v") + f", few AS (SELECT * FROM ({SPREAD}) WHERE from_id <> to_id)"
 
 
 def few(spark, d):
-    return links(spark, d).filter("edge_id % 70 < 10")
+    at = lambda a, k, m: ((F.col(a) * k + F.col("edge_id") * m) % 4001).alias(a)
+    return links(spark, d).select("run_id", "edge_id", "length", "passable", "status", at("from_id", 31, 1), at("to_id", 37, 3)).filter("from_id <> to_id")
 
 
 @query("x5_dedupe_undirected", LINKS + """ SELECT run_id, edge_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, least(from_id, to_id), greatest(from_id, to_id) ORDER BY edge_id) AS rn FROM links_v) WHERE rn = 1""")
@@ -49,7 +51,7 @@ def _(spark, d):
     return gr.component_summary(few(spark, d))
 
 
-CHAINS = with_views("links_v").replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT run_id, edge_id, from_id, to_id FROM links_v WHERE passable AND edge_id % 170 < 10),
+CHAINS = FEW.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT run_id, edge_id, from_id, to_id FROM few WHERE passable),
 o AS (SELECT run_id, from_id AS n, count(*) AS c FROM e GROUP BY 1, 2), i AS (SELECT run_id, to_id AS n, count(*) AS c, min(edge_id) AS p FROM e GROUP BY 1, 2),
 lk AS (SELECT e.run_id, e.edge_id, CASE WHEN o.c = 1 AND i.c = 1 THEN i.p END AS pred FROM e JOIN o ON o.run_id = e.run_id AND o.n = e.from_id LEFT JOIN i ON i.run_id = e.run_id AND i.n = e.from_id),
 w AS (SELECT run_id, edge_id, edge_id AS head, 0 AS pos FROM lk WHERE pred IS NULL UNION ALL SELECT lk.run_id, lk.edge_id, w.head, w.pos + 1 FROM w JOIN lk ON lk.run_id = w.run_id AND lk.pred = w.edge_id)
@@ -58,7 +60,7 @@ w AS (SELECT run_id, edge_id, edge_id AS head, 0 AS pos FROM lk WHERE pred IS NU
 
 @query("g6_maximal_chains", CHAINS + """ SELECT run_id, edge_id, head AS head_edge_id, CAST(pos AS BIGINT) AS pos FROM w""")
 def _(spark, d):
-    c = gr.maximal_chains(links(spark, d).filter("edge_id % 170 < 10"))
+    c = gr.maximal_chains(few(spark, d))
     return c.filter(~F.col("on_cycle")).select("run_id", "edge_id", "head_edge_id", "pos")
 
 
@@ -135,15 +137,15 @@ def routes(spark, d):
     return e, e.select("run_id", F.col("from_id").alias("route_id"), "edge_id", F.row_number().over(w).cast("long").alias("pos"))
 
 
-@query("g9_select_route_graph", ROUTE + f""" SELECT rt.run_id, route_id, pos, rt.edge_id, l.to_id, {Q('l.length')} AS length FROM rt JOIN links_v l ON l.run_id = rt.run_id AND l.edge_id = rt.edge_id WHERE route_id < 40""")
+@query("g9_select_route_graph", ROUTE + f""" SELECT rt.run_id, route_id, pos, rt.edge_id, l.to_id, {Q('l.length')} AS length FROM rt JOIN links_v l ON l.run_id = rt.run_id AND l.edge_id = rt.edge_id""")
 def _(spark, d):
     e, r = routes(spark, d)
     nodes = gr.both_ends(e).select("run_id", "node_id").distinct()
-    out, _ = gr.select_route_graph(e, nodes, r.filter("route_id < 40"))
+    out, _ = gr.select_route_graph(e, nodes, r)
     return out.select("run_id", "route_id", "pos", "edge_id", "to_id", q("length"))
 
 
-G10 = with_views("links_v") + """, e AS (SELECT run_id, edge_id, from_id, to_id, status <> 'INVALID' OR edge_id % 5 <> 0 AS passable, CAST(edge_id % 11 AS DOUBLE) * 5e-1 AS sh, CAST(edge_id % 7 AS DOUBLE) * 5e-1 AS eh FROM links_v WHERE edge_id % 90 < 10),
+G10 = FEW + """, e AS (SELECT run_id, edge_id, from_id, to_id, status <> 'INVALID' OR edge_id % 5 <> 0 AS passable, CAST(edge_id % 11 AS DOUBLE) * 5e-1 AS sh, CAST(edge_id % 7 AS DOUBLE) * 5e-1 AS eh FROM few),
 t AS (SELECT run_id, edge_id AS route_id, edge_id, from_id, to_id, eh FROM e),
 j AS (SELECT t.run_id, t.route_id, t.eh, t.from_id AS tf, t.to_id AS tt, n.edge_id AS nid, n.to_id AS nto, n.passable, n.sh FROM t LEFT JOIN e n ON n.run_id = t.run_id AND n.from_id = t.to_id),
 a AS (SELECT run_id, route_id, count(nid) AS n, count(*) FILTER (NOT passable) AS b, min(CASE WHEN passable THEN nid END) AS s, any_value(tf) AS tf, any_value(tt) AS tt, any_value(eh) AS eh FROM j GROUP BY 1, 2)
@@ -154,7 +156,7 @@ SELECT a.route_id, CASE WHEN b > 0 THEN 'terminal_successor_no_entry_or_impassab
 
 @query("g10_terminal_successor", G10)
 def _(spark, d):
-    e = links(spark, d).filter("edge_id % 90 < 10")
+    e = few(spark, d)
     z = {k: F.lit(0.0) for k in ("sx", "sy", "sz", "ex", "ey", "ez")}
     e = e.withColumns({**z, "sh": (F.col("edge_id") % 11) * 0.5, "eh": (F.col("edge_id") % 7) * 0.5, "reverse_of": F.lit(None).cast("long"),
                        "passable": (F.col("status") != "INVALID") | (F.col("edge_id") % 5 != 0)})
@@ -199,13 +201,13 @@ def _(spark, d):
     return gr.candidate_graph(e).select("edge_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("a16_node_status", FEW + """, n AS (SELECT run_id, r.v AS node_id FROM (SELECT DISTINCT run_id FROM links_v), range(0, 200) r(v)),
+@query("a16_node_status", FEW + """, n AS (SELECT run_id, r.v AS node_id FROM (SELECT DISTINCT run_id FROM links_v), range(0, 4001) r(v)),
 i AS (SELECT run_id, from_id AS node_id, status FROM few UNION ALL SELECT run_id, to_id, status FROM few),
 c AS (SELECT n.run_id, n.node_id, count(*) FILTER (status IN ('VALID', 'WARNING')) AS ok, count(*) FILTER (status = 'WARNING') AS warn, count(*) FILTER (status = 'INVALID') AS bad FROM n LEFT JOIN i USING (run_id, node_id) GROUP BY 1, 2)
 SELECT run_id, node_id, CASE WHEN ok = 0 THEN 'INVALID' WHEN bad > 0 OR warn > 0 THEN 'WARNING' ELSE 'VALID' END AS status,
  CASE WHEN ok = 0 AND bad = 0 THEN 'isolated_node' WHEN ok = 0 THEN 'no_valid_incident_edge' ELSE concat_ws(',', CASE WHEN bad > 0 THEN 'has_invalid_incident_edge' END, CASE WHEN warn > 0 THEN 'has_warning_incident_edge' END) END AS errors FROM c""")
 def _(spark, d):
-    nodes = links(spark, d).select("run_id").distinct().withColumn("node_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))))
+    nodes = links(spark, d).select("run_id").distinct().withColumn("node_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4000).cast("long"))))
     return gr.node_status(nodes, few(spark, d)).withColumn("errors", F.array_join("errors", ","))
 
 
@@ -217,7 +219,7 @@ def _(spark, d):
     return gr.run_statistics(e).select("run_id", "edges", "passable_edges", "blocked_edges", "physical_edges", q("min_width"))
 
 
-@query("v19_edge_issues", LINKS + """ SELECT edge_id, CASE WHEN edge_id % 3 = 0 THEN 'first_code' WHEN NOT passable THEN 'impassable' ELSE 'low_confidence' END AS reason FROM links_v WHERE NOT passable OR length < 10""")
+@query("v19_edge_issues", LINKS + """ SELECT edge_id, CASE WHEN passable THEN 'low confidence' WHEN edge_id % 3 = 0 THEN 'first_code' ELSE 'clearance failed' END AS reason FROM links_v WHERE NOT passable OR length < 10""")
 def _(spark, d):
     e = links(spark, d).withColumns({"confidence": F.col("length") / 50.0, "errors": F.when(F.col("edge_id") % 3 == 0, F.array(F.lit("first_code"), F.lit("second"))).otherwise(F.array().cast("array<string>"))})
     return gr.edge_issues(e, 0.2).select("edge_id", "reason")
@@ -299,36 +301,47 @@ def _(spark, d):
     return index_rows(links(spark, d), ["run_id"], ["from_id", "length", "edge_id"], index="rank").select("run_id", "edge_id", "rank")
 
 
-OPS = LINKS + """, ob AS (SELECT run_id, edge_id AS op, edge_id % 6 AS k, from_id, to_id FROM links_v WHERE edge_id % 3 = 1),
-be AS (SELECT run_id, edge_id, from_id, to_id FROM links_v WHERE edge_id % 3 = 0), bn AS (SELECT run_id, r.v AS node_id FROM (SELECT DISTINCT run_id FROM links_v), range(0, 200) r(v))"""
+# Every link is used: m counts the links of a graph, a block of four is three edges and one log entry
+# of one or two operations on the first of them, by the kind of the block.
+OPS = LINKS + """, m AS (SELECT *, edge_id // 10 AS m FROM links_v), b AS (SELECT run_id, edge_id, from_id, to_id FROM m WHERE m % 4 <> 3),
+o AS (SELECT run_id, edge_id AS i, edge_id - 30 AS e, from_id AS n, (m // 4) % 9 AS k, 2 * edge_id AS op FROM m WHERE m % 4 = 3),
+h AS (SELECT o.*, b.from_id, b.to_id FROM o JOIN b ON b.run_id = o.run_id AND b.edge_id = o.e)"""
 
 
 def ops(spark, d):
-    e = links(spark, d)
-    o = e.filter("edge_id % 3 = 1")
-    i, k = F.col("edge_id"), F.col("edge_id") % 12
-    null = F.lit(None).cast("long")
-    kind = F.when(k == 1, "add_node").when(k == 4, "delete_edge").when(k == 7, "split_edge").otherwise("move_node")
-    o = o.select(
-        "run_id", i.alias("op"), kind.alias("type"),
-        F.when(k == 1, i + 1000000).when(k == 10, F.col("from_id")).alias("node_id"),
-        F.when(k == 4, (i - 4) / 1).when(k == 7, i - 7).cast("long").alias("edge_id"),
-        F.lit(None).cast("long").alias("from_id"), F.lit(None).cast("long").alias("to_id"),
-        F.when(k == 7, i * 2 + 3000000).alias("child1_id"), F.when(k == 7, i * 2 + 3000001).alias("child2_id"), F.when(k == 7, i + 2000000).alias("new_node_id"),
-        (i * 0.5).alias("x"), (i * 0.25).alias("y"), F.lit(0.0).alias("z"),
-    )
-    edges = e.filter("edge_id % 3 = 0").select("run_id", "edge_id", "from_id", "to_id")
+    e = links(spark, d).withColumn("m", F.floor(F.col("edge_id") / 10))
+    c = F.col
+    o = e.filter("m % 4 = 3").withColumns({"k": F.floor(c("m") / 4) % 9, "i": c("edge_id"), "e": c("edge_id") - 30})
+    other = (c("n") + 1) % 200
+    step = lambda nth, kind, **more: F.struct(
+        (2 * c("i") + nth).alias("op"), F.lit(kind).alias("type"),
+        *[(more[k] if k in more else F.lit(None).cast("long")).cast("long").alias(k) for k in ("node_id", "edge_id", "from_id", "to_id", "child1_id", "child2_id", "new_node_id", "reverse_id")],
+        more.get("direction", F.lit("one_way")).alias("direction"), F.lit(more.get("include_reverse", False)).alias("include_reverse"),
+        (c("i") * 0.5 + nth).alias("x"), (c("i") * 0.25).alias("y"), F.lit(0.0).alias("z"))
+    cut = {"edge_id": c("e"), "child1_id": c("i") * 2 + 3000000, "child2_id": c("i") * 2 + 3000001, "new_node_id": c("i") + 2000000}
+    both = {"edge_id": c("e"), "direction": F.lit("both"), "reverse_id": c("i") + 5000000}
+    kinds = [
+        [step(0, "delete_edge", edge_id=c("e"))], [step(0, "split_edge", **cut)], [step(0, "add_node", node_id=c("i") + 1000000)],
+        [step(0, "delete_edge", edge_id=c("e")), step(1, "add_edge", edge_id=c("e"), from_id=c("n"), to_id=other)],
+        [step(0, "delete_edge", edge_id=c("e")), step(1, "split_edge", **cut)], [step(0, "set_direction", **both)],
+        [step(0, "set_direction", **both), step(1, "set_direction", edge_id=c("e"))],
+        [step(0, "set_direction", **both), step(1, "delete_edge", edge_id=c("e"), include_reverse=True)],
+        [step(0, "move_node", node_id=c("n")), step(1, "move_node", node_id=c("n"))],
+    ]
+    chosen = F.when(c("k") == 0, F.array(*kinds[0]))
+    for k, entry in enumerate(kinds[1:], 1):
+        chosen = chosen.when(c("k") == k, F.array(*entry))
+    o = o.withColumn("n", c("from_id")).select("run_id", F.explode(chosen).alias("s")).select("run_id", "s.*")
+    edges = e.filter("m % 4 <> 3").select("run_id", "edge_id", "from_id", "to_id")
     nodes = e.select("run_id").distinct().withColumn("node_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long")))).withColumns({a: F.lit(1.0) for a in "xyz"})
     return nodes, edges, o
 
 
 @query(
     "g11_replay_edits_edges",
-    LINKS + """, o AS (SELECT run_id, edge_id AS op, edge_id % 12 AS k FROM links_v WHERE edge_id % 3 = 1),
-b AS (SELECT run_id, edge_id, from_id, to_id FROM links_v WHERE edge_id % 3 = 0),
-dl AS (SELECT run_id, op - 4 AS edge_id FROM o WHERE k = 4), sp AS (SELECT run_id, op, op - 7 AS edge_id FROM o WHERE k = 7)
-SELECT b.run_id, b.edge_id, from_id, to_id, FALSE AS manual FROM b WHERE (run_id, edge_id) NOT IN (SELECT run_id, edge_id FROM dl) AND (run_id, edge_id) NOT IN (SELECT run_id, edge_id FROM sp)
-UNION ALL SELECT b.run_id, op * 2 + 3000000, from_id, op + 2000000, TRUE FROM b JOIN sp USING (run_id, edge_id) UNION ALL SELECT b.run_id, op * 2 + 3000001, op + 2000000, to_id, TRUE FROM b JOIN sp USING (run_id, edge_id)""",
+    OPS + """ SELECT run_id, edge_id, from_id, to_id, FALSE AS manual FROM b WHERE (run_id, edge_id) NOT IN (SELECT run_id, e FROM h WHERE k IN (0, 1, 3, 4, 7))
+UNION ALL SELECT run_id, i * 2 + 3000000, from_id, i + 2000000, TRUE FROM h WHERE k = 1 UNION ALL SELECT run_id, i * 2 + 3000001, i + 2000000, to_id, TRUE FROM h WHERE k = 1
+UNION ALL SELECT run_id, e, n, (n + 1) % 200, TRUE FROM o WHERE k = 3 UNION ALL SELECT run_id, i + 5000000, to_id, from_id, TRUE FROM h WHERE k = 5""",
 )
 def _(spark, d):
     nodes, edges, o = ops(spark, d)
@@ -337,10 +350,9 @@ def _(spark, d):
 
 @query(
     "g11_replay_edits_nodes",
-    LINKS + f""", o AS (SELECT run_id, edge_id AS op, edge_id % 12 AS k, from_id FROM links_v WHERE edge_id % 3 = 1),
-n AS (SELECT run_id, r.v AS node_id, 1e0 AS x, FALSE AS manual FROM (SELECT DISTINCT run_id FROM links_v), range(0, 200) r(v) UNION ALL SELECT run_id, op + 1000000, op * 5e-1, TRUE FROM o WHERE k = 1 UNION ALL SELECT run_id, op + 2000000, op * 5e-1, TRUE FROM o WHERE k = 7),
-m AS (SELECT run_id, from_id AS node_id, max(op) AS op FROM o WHERE k = 10 GROUP BY 1, 2)
-SELECT n.run_id, n.node_id, {Q('coalesce(m.op * 5e-1, n.x)')} AS x, manual FROM n LEFT JOIN m USING (run_id, node_id)""",
+    OPS + f""", n AS (SELECT run_id, r.v AS node_id, 1e0 AS x, FALSE AS manual FROM (SELECT DISTINCT run_id FROM links_v), range(0, 200) r(v) UNION ALL SELECT run_id, i + 1000000, i * 5e-1, TRUE FROM o WHERE k = 2 UNION ALL SELECT run_id, i + 2000000, i * 5e-1, TRUE FROM h WHERE k = 1),
+mv AS (SELECT run_id, n AS node_id, max(i) AS i FROM o WHERE k = 8 GROUP BY 1, 2)
+SELECT n.run_id, n.node_id, {Q('coalesce(mv.i * 5e-1 + 1, n.x)')} AS x, manual FROM n LEFT JOIN mv USING (run_id, node_id)""",
 )
 def _(spark, d):
     nodes, edges, o = ops(spark, d)
@@ -349,9 +361,10 @@ def _(spark, d):
 
 @query(
     "g11_invalid_edits",
-    LINKS + """, o AS (SELECT run_id, edge_id AS op, edge_id % 12 AS k FROM links_v WHERE edge_id % 3 = 1), b AS (SELECT run_id, edge_id FROM links_v WHERE edge_id % 3 = 0)
-SELECT o.run_id, op, 'missing_entity' AS code FROM o WHERE (k = 4 AND (run_id, op - 4) NOT IN (SELECT run_id, edge_id FROM b)) OR (k = 7 AND (run_id, op - 7) NOT IN (SELECT run_id, edge_id FROM b))""",
+    OPS + """, x AS (SELECT o.* FROM o LEFT JOIN h USING (run_id, i) WHERE h.i IS NULL)
+SELECT run_id, op, 'missing_entity' AS code FROM x WHERE k IN (0, 1, 3, 4, 5, 6, 7) UNION ALL SELECT run_id, op + 1, 'missing_entity' FROM x WHERE k IN (6, 7) UNION ALL SELECT run_id, op + 1, 'missing_entity' FROM o WHERE k = 4
+UNION ALL SELECT run_id, op + 1, 'duplicate_id' FROM o WHERE k = 3 AND e < 200""",
 )
 def _(spark, d):
     nodes, edges, o = ops(spark, d)
-    return gr.invalid_edits(nodes.withColumn("node_id", F.col("node_id") + 9000000), edges, o.filter("type <> 'move_node'"))
+    return gr.invalid_edits(nodes, edges, o)

@@ -51,11 +51,11 @@ def stream_register(scans: DataFrame, poses: DataFrame, gap: str, delay: str) ->
 
 
 def voxel_sums(points: DataFrame, size: float) -> DataFrame:
-    """Additive partial sums of a micro-batch per (voxel, scan), then per voxel."""
-    keyed = points.withColumns({f"v{a}": G.cell_of(F.col(a), 0.0, size) for a in "xyz"})
-    key = ["run_id", "vx", "vy", "vz"]
-    per = keyed.groupBy(*key, "scan_id").agg(*[F.sum(a).alias(f"s{a}") for a in "xyz"], F.count("*").alias("n"))
-    return per.groupBy(*key).agg(*[F.sum(f"s{a}").alias(f"s{a}") for a in "xyz"], F.sum("n").alias("n"), F.count("*").alias("scans"))
+    """Additive partial sums of a micro-batch per (voxel, scan); points that are not finite drop."""
+    good = [~F.isnan(F.col(a)) & (F.abs(F.col(a)) < float("inf")) for a in "xyz"]
+    keyed = points.filter(good[0] & good[1] & good[2]).withColumns({f"v{a}": G.cell_of(F.col(a), 0.0, size) for a in "xyz"})
+    sums = [F.sum(a).alias(f"s{a}") for a in "xyz"] + ([F.sum("intensity").alias("si")] if "intensity" in points.columns else [])
+    return keyed.groupBy("run_id", "vx", "vy", "vz", "scan_id").agg(*sums, F.count("*").alias("n"))
 
 
 def append_voxels(size: float, root: str):
@@ -70,9 +70,14 @@ def append_voxels(size: float, root: str):
 
 
 def read_voxels(parts: DataFrame) -> DataFrame:
-    """Current voxel map from the stored parts. A scan must land within one micro-batch."""
-    g = parts.groupBy("run_id", "vx", "vy", "vz").agg(*[F.sum(f"s{a}").alias(f"s{a}") for a in "xyz"], F.sum("n").alias("n"), F.sum("scans").alias("scans"))
-    return g.select("run_id", "vx", "vy", "vz", *[(F.col(f"s{a}") / F.col("n")).alias(a) for a in "xyz"], F.col("n").alias("point_count"), F.col("scans").alias("observation_count"))
+    """Current voxel map from the stored parts. A scan may arrive in several micro-batches: its
+    parts are added up first, then it counts once."""
+    sums = [c for c in ("sx", "sy", "sz", "si") if c in parts.columns]
+    key = ["run_id", "vx", "vy", "vz"]
+    per_scan = parts.groupBy(*key, "scan_id").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
+    g = per_scan.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"), F.count("*").alias("scans"))
+    names = {"sx": "x", "sy": "y", "sz": "z", "si": "intensity"}
+    return g.select(*key, *[(F.col(c) / F.col("n")).alias(names[c]) for c in sums], F.col("n").alias("point_count"), F.col("scans").alias("observation_count"))
 
 
 def stream_segments(poses: DataFrame, max_jump: float, max_speed: float, min_distance: float, delay: str = "10 minutes") -> DataFrame:
