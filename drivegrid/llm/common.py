@@ -48,3 +48,40 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column]) ->
         .withColumns({n: (F.col(n) + F.col(f"_b_{n}")).cast("long") for n in sums})
         .drop("_range", *[f"_b_{n}" for n in sums])
     )
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """``node, component`` (smallest node reachable) of undirected links; a node that is its
+    own component may be missing.
+
+    Every node first takes its smallest neighbour. What that leaves open, links between the
+    chosen ones, is a much smaller graph; it is closed by alternating large-star and small-star
+    steps. All tables are written, so Spark knows their sizes and broadcasts small ones."""
+    ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
+    e = written(ends.distinct())
+    first = written(e.groupBy("u").agg(F.min("v").alias("p")))
+    other = e.join(first, "u").filter("v <> p").select(F.greatest("v", "p").alias("u"), F.least("v", "p").alias("v"))
+    onward = first.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u", F.col("p").alias("v"))
+    rest = written(other.unionByName(onward).distinct())
+    if rest.isEmpty():
+        return first.select(F.col("u").alias("node"), F.col("p").alias("component"))
+    stars = _stars(rest)
+    top = first.join(stars, F.col("p") == F.col("node"), "left").select(F.col("u").alias("node"), F.coalesce("component", "p").alias("component"))
+    return top.unionByName(stars.join(first, F.col("node") == F.col("u"), "left_anti"))
+
+
+def _stars(e: DataFrame) -> DataFrame:
+    """Close a graph of ``u > v`` rows to one star a component: rows ``node, component``."""
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(low, "u")
+        large = written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = written(moved.distinct())
+        # done when every node has one parent that has none itself
+        twice = e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        inner = e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+        if twice.unionByName(inner).isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

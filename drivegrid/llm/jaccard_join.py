@@ -1,16 +1,17 @@
 """Near-duplicate documents by word-shingle Jaccard similarity: a MinHash LSH forest join.
 
 Every text has ``TREES`` sequences of ``DEPTH`` MinHash values. In tree t a text is the path of
-its t-th sequence, so texts that share a prefix of it are neighbours in the sorted trie. The
-join starts with the longest prefixes and shortens them step by step; at each step it verifies
-the pairs that newly share a prefix in some tree, by the exact Jaccard similarity of their
-shingle sets. From the similarities found it estimates how many links the prefixes have missed
-(each pair found weighs 1 / its chance of being found) and stops when the target recall is
-reached, or at ``floor_depth``, where the chance at the threshold itself exceeds the target.
+its t-th sequence, so texts that share a prefix of it are neighbours in the sorted trie. Two
+neighbourhoods are compared with the longest prefixes first, which are then shortened step by
+step; at each step the pairs that newly share a prefix in some tree are verified by the exact
+Jaccard similarity of their shingle sets. From the similarities found follows how many links
+the prefixes have missed (each pair found weighs 1 / its chance of being found); shortening
+ends when the target recall is reached, or at ``floor_depth``, where the chance at the
+threshold itself exceeds the target.
 
 Nothing is emitted pair by pair. Texts with equal words are one class from the start. Classes
-that share a prefix with another form candidate components; candidates are sorted by
-component and path and cut into blocks of bounded total size. Two blocks that share a prefix
+that share a prefix with another are candidates; they are sorted by their smallest neighbour
+and path and cut into blocks of bounded total size. Two blocks that share a prefix
 meet in one task, which verifies their candidate pairs with array operations and returns link
 counts and a spanning forest. A group of near copies of any size is thus many block pairs.
 """
@@ -26,8 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drivegrid.lib.doubling import connected_components
-from drivegrid.llm.common import null_empty, running_totals, written
+from drivegrid.llm.common import components, null_empty, running_totals, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -146,7 +146,7 @@ def _keys(classes: DataFrame, trees: int, depth: int, use: int) -> DataFrame:
     return classes.select("node", "sig").mapInPandas(run, "node long, tree_key long")
 
 
-def _verify_blocks(threshold: float, trees: int, depth: int, use: int, previous: int | None):
+def _verify_blocks(threshold: float, trees: int, depth: int, floor: int, target: float):
     """Checks the candidate pairs of two blocks (or of one with itself)."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,33 +155,35 @@ def _verify_blocks(threshold: float, trees: int, depth: int, use: int, previous:
         block = pdf["block"].to_numpy()
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         sig = np.stack([np.frombuffer(b, dtype=np.uint32).reshape(trees, depth) for b in pdf["sig"]])
-        near = _share(sig, left, right, use)
-        if previous is not None:
-            near &= ~_share(sig, left, right, previous)
-        if one == two:
-            near = np.triu(near, 1)
-        i, j = np.nonzero(near)
         sets = [np.frombuffer(b, dtype=np.uint64) for b in pdf["shingles"]]
         sizes = np.array([len(s) for s in sets], dtype=np.float64)
-        a, b = left[i], right[j]
-        # the smaller set bounds the similarity
-        can = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b])
-        a, b = a[can], b[can]
-        inter = intersections(sets, a, b)
-        union = sizes[a] + sizes[b] - inter
-        linked = inter >= threshold * union - 1e-9
-        a, b, s = a[linked], b[linked], (inter / np.maximum(union, 1))[linked]
+        near = np.triu(np.ones((len(left), len(right)), dtype=bool), 1) if one == two else np.ones((len(left), len(right)), dtype=bool)
+        firsts, seconds = [], []
+        found = expected = 0.0
+        for use in range(depth, floor - 1, -1):
+            fresh = _share(sig, left, right, use) & near
+            near &= ~fresh
+            i, j = np.nonzero(fresh)
+            a, b = left[i], right[j]
+            # the sizes bound the similarity
+            can = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b])
+            a, b = a[can], b[can]
+            inter = intersections(sets, a, b)
+            union = sizes[a] + sizes[b] - inter
+            linked = inter >= threshold * union - 1e-9
+            firsts.append(a[linked])
+            seconds.append(b[linked])
+            found += linked.sum()
+            expected += (1.0 / chance((inter / np.maximum(union, 1))[linked], use, trees)).sum()
+            if found and found >= target * expected:
+                break
+        a, b = np.concatenate(firsts), np.concatenate(seconds)
         node, mult = pdf["node"].to_numpy(), pdf["mult"].to_numpy()
         links = np.zeros(len(pdf), dtype=np.int64)
         np.add.at(links, a, mult[b])
         np.add.at(links, b, mult[a])
-        tops = spanning(len(pdf), a, b)
-        missed = np.zeros(len(pdf))
-        np.add.at(missed, a, 1.0 / chance(s, use, trees))
-        found = np.zeros(len(pdf), dtype=np.int64)
-        np.add.at(found, a, 1)
         hit = np.flatnonzero(links > 0)
-        return pd.DataFrame({"node": node[hit], "top": node[tops[hit]], "links": links[hit], "found": found[hit], "expected": missed[hit]})
+        return pd.DataFrame({"node": node[hit], "top": node[spanning(len(pdf), a, b)[hit]], "links": links[hit]})
 
     return run
 
@@ -279,61 +281,37 @@ def near_copies(
     signed = written(_signatures(df, row_id, text, size, trees, depth))
     named = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    use, previous, results = depth, None, []
-    last = floor_depth(threshold, trees, depth, target)
-    found = expected = 0.0
-    while True:
-        step = _step(df, classes, row_id, text, threshold, size, trees, depth, use, previous, block_shingles)
-        if step is not None:
-            results.append(step)
-            f, e = step.agg(F.coalesce(F.sum("found"), F.lit(0)), F.coalesce(F.sum("expected"), F.lit(0.0))).first()
-            found, expected = found + f, expected + e
-        if use <= last or (found and found >= target * expected):
-            break
-        previous, use = use, use - 1
-    return _assemble(signed, classes, results)
+    links = _links(df, classes, row_id, text, threshold, size, trees, depth, floor_depth(threshold, trees, depth, target), target, block_shingles)
+    return _assemble(signed, classes, links)
 
 
-def _step(df, classes, row_id, text, threshold, size, trees, depth, use, previous, block_shingles):
-    keys = _keys(classes, trees, depth, use)
+def _links(df, classes, row_id, text, threshold, size, trees, depth, floor, target, block_shingles) -> DataFrame:
+    """``node, top, links``: link counts and spanning forests of all pairs of blocks."""
+    keys = _keys(classes, trees, depth, floor)
     crowded = keys.groupBy("tree_key").agg(F.count("*").alias("c"), F.min("node").alias("low")).filter("c > 1")
     keys = written(keys.join(crowded, "tree_key").select("node", "tree_key", "low"))
-    links = keys.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    if links.isEmpty():
-        return None
-    comp = connected_components(links, keys=[])
-    cand = comp.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("component", "node", "digest", "mult", "n", "sig")
-    cand = cand.withColumn("path", F.substring("sig", 1, 4 * depth)).withColumn("n", F.col("n") + 500)
-    cand = written(running_totals(cand, ["component", "path", "node", "digest"], {"upto": F.col("n")}))
-    cand = cand.withColumn("block", F.expr(f"(upto - 1) div {block_shingles}L")).drop("path", "upto", "component", "n")
+    # texts stand beside the smallest one they share a prefix with: this only brings candidates
+    # together in few blocks, every pair of blocks with a common prefix is looked at
+    near = keys.groupBy("node").agg(F.min("low").alias("beside"))
+    cand = near.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("beside", "node", "digest", "mult", "n", "sig")
+    cand = cand.withColumns({"path": F.substring("sig", 1, 4 * depth), "n": F.col("n") + 500})
+    cand = running_totals(cand, ["beside", "path", "node", "digest"], {"upto": F.col("n")})
+    cand = written(cand.withColumn("block", F.expr(f"(upto - 1) div {block_shingles}L")).select("node", "digest", "mult", "sig", "block"))
     # blocks that share a prefix; each block also meets itself
     at = written(keys.join(cand.select("node", "block"), "node").select("tree_key", "block").distinct())
     other = at.select("tree_key", F.col("block").alias("other"))
     meet = at.join(other, "tree_key").filter("block <= other").select(F.col("block").alias("one"), F.col("other").alias("two")).distinct()
-    meet = written(meet)
     homes = meet.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("block"), "one", "two")
     # one text of each class gives its shingles
-    full = written(_shingle_sets(df, cand, row_id, text, size))
-    pairs = full.select("node", "digest", "mult", "sig", "shingles", "block").join(homes, "block")
-    checked = pairs.groupBy("one", "two").applyInPandas(
-        _verify_blocks(threshold, trees, depth, use, previous), "node long, top long, links long, found long, expected double"
-    )
-    return written(checked)
+    pairs = _shingle_sets(df, cand, row_id, text, size).select("node", "digest", "mult", "sig", "shingles", "block").join(homes, "block")
+    return written(pairs.groupBy("one", "two").applyInPandas(_verify_blocks(threshold, trees, depth, floor, target), "node long, top long, links long"))
 
 
-def _assemble(signed: DataFrame, classes: DataFrame, results: list[DataFrame]) -> DataFrame:
+def _assemble(signed: DataFrame, classes: DataFrame, every: DataFrame) -> DataFrame:
     own = classes.select("digest", F.col("node").alias("class_id"), "mult")
     rows = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(own, "digest", "left")
-    if not results:
-        component, links = F.coalesce("class_id", "doc_id"), F.coalesce(F.col("mult") - 1, F.lit(0).cast("long"))
-        out = rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), links.alias("n_links"), component.alias("component_id"))
-        return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    every = results[0]
-    for more in results[1:]:
-        every = every.unionByName(more)
     links = every.groupBy("node").agg(F.sum("links").alias("links"))
-    comp = connected_components(every.filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")), keys=[])
-    known = written(links.join(comp, "node", "left"))
+    known = written(links.join(components(every, "node", "top"), "node", "left"))
     out = rows.join(known.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
         (F.coalesce(F.col("mult") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),

@@ -16,8 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drivegrid.lib.doubling import connected_components
-from drivegrid.llm.common import written
+from drivegrid.llm.common import components, written
 from drivegrid.llm.jaccard_join import spanning
 
 THRESHOLD = 0.93
@@ -138,7 +137,7 @@ def link_vectors(
     placed = placed.select(*keys, "one", "two", "node", "vector", "mult", "pivots", "block")
     checked = written(placed.groupBy(*keys, "one", "two").applyInPandas(_verify(threshold, min_shared), "node long, top long, links long"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    comp = connected_components(checked.filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")), keys=[])
+    comp = components(checked, "node", "top")
     known = links.join(comp, "node", "left").withColumnRenamed("node", "_n")
     per_class = classes.select("label", "vector", "mult", "node").join(known, F.col("node") == F.col("_n"), "left")
     per_class = per_class.select("label", "vector", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
