@@ -28,7 +28,9 @@ BUCKETS = 1 << 16
 #: Labelled rows per language that the classifier is fitted on (about; chosen by hash of the id).
 FIT_ROWS = 4000
 SWITCH_PENALTY = 6.0
-BATCH_CHARS = 8_000_000
+#: Characters whose n-grams are scored at once (less with many languages), and characters of
+#: the texts that take the Viterbi steps together: bounds of the arrays, not of the texts.
+SCORE_CHARS, STEP_CHARS = 800_000, 12_000_000
 
 #: First code points of script ranges and the script that begins there.
 SCRIPT_STARTS = [
@@ -61,12 +63,12 @@ def _script_table() -> np.ndarray:
 class Words:
     """All words of a batch: flat n-gram buckets, and per word its first n-gram, text, length, script."""
 
-    grams: np.ndarray
-    first: np.ndarray
     doc: np.ndarray
     begin: np.ndarray
     length: np.ndarray
     script: np.ndarray
+    grams: np.ndarray | None = None
+    first: np.ndarray | None = None
 
 
 def words_of(texts: list[str]) -> Words:
@@ -101,7 +103,7 @@ def words_of(texts: list[str]) -> Words:
     grams[np.repeat(at[:-1] + n2, n3) + k3] = three[np.repeat(first[:-1], n3) + k3]
     grams *= np.uint64(0xC2B2AE3D27D4EB4F)
     doc = np.searchsorted(starts, begin, side="right") - 1
-    return Words((grams >> np.uint64(48)).astype(np.int64), at[:-1], doc, begin - starts[doc], length, kind[begin].astype(np.int64) - 1)
+    return Words(doc, begin - starts[doc], length, kind[begin].astype(np.int64) - 1, (grams >> np.uint64(48)).astype(np.int64), at[:-1])
 
 
 _LOWER: list[np.ndarray] = []
@@ -127,11 +129,11 @@ class Model:
     prior: np.ndarray
 
 
-def _parts(texts: list[str]):
-    """Texts in blocks of about BATCH_CHARS characters, to bound the arrays."""
+def _parts(texts: list[str], chars: int):
+    """Texts in blocks of about so many characters, to bound the arrays."""
     at, size = 0, 0
     for k, t in enumerate(texts):
-        if size and size + len(t) > BATCH_CHARS:
+        if size and size + len(t) > chars:
             yield at, texts[at:k]
             at, size = k, 0
         size += len(t)
@@ -157,7 +159,7 @@ def fit(df: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "
         scripts = np.zeros((len(langs), len(SCRIPTS)), dtype=np.int64)
         for pdf in batches:
             which = pdf["lang"].map(number).to_numpy()
-            for at, texts in _parts(pdf["text"].tolist()):
+            for at, texts in _parts(pdf["text"].tolist(), SCORE_CHARS):
                 w = words_of(texts)
                 if not len(w.first):
                     continue
@@ -212,21 +214,29 @@ def viterbi(scores: np.ndarray, doc: np.ndarray, penalty: float) -> np.ndarray:
 
 def label_words(model: Model, texts: list[str], penalty: float = SWITCH_PENALTY) -> tuple[Words, np.ndarray]:
     """The words of some texts and the language number of each."""
-    w = words_of(texts)
-    if not len(w.first):
-        return w, np.zeros(0, dtype=np.int64)
-    scores = np.add.reduceat(model.weights[w.grams], w.first, axis=0)
-    open_ = model.allowed[w.script]
-    scores[~open_ & open_.any(1, keepdims=True)] = -1e6  # a script none was seen with leaves all open
-    scores[~open_.any(1)] = 0.0
-    return w, viterbi(scores, w.doc, penalty)
+    found, scored = [], []
+    for at, part in _parts(texts, 4 * SCORE_CHARS // max(4, len(model.langs))):
+        w = words_of(part)
+        if not len(w.doc):
+            continue
+        scores = np.add.reduceat(model.weights[w.grams], w.first, axis=0)
+        open_ = model.allowed[w.script]
+        scores[~open_ & open_.any(1, keepdims=True)] = -1e6  # a script none was seen with leaves all open
+        scores[~open_.any(1)] = 0.0
+        found.append((w.doc + at, w.begin, w.length, w.script))
+        scored.append(scores)
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return Words(none, none, none, none), none
+    words = Words(*(np.concatenate(c) for c in zip(*found)))
+    return words, viterbi(np.concatenate(scored), words.doc, penalty)
 
 
 def decide(m: Model, texts: list[str], penalty: float, spans: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
     """Language name, share of letters and spans of each text."""
     names = np.array([*m.langs, "und"], dtype=object)
     pred, score, found = np.full(len(texts), len(m.langs)), np.zeros(len(texts)), [[] for _ in texts] if spans else []
-    for first, part in _parts(texts) if m.langs else ():
+    for first, part in _parts(texts, STEP_CHARS) if m.langs else ():
         w, label = label_words(m, part, penalty)
         if not len(label):
             continue
