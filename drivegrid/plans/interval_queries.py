@@ -36,13 +36,13 @@ def spans(spark, d):
 
 
 def sparse(df):
-    """Every ninth feature, 0.2 m long: leaves gaps on the edges."""
-    return df.filter("feature_id % 9 = 4").withColumn("end_s", F.col("start_s") + 0.2)
+    """All features, 0.02 m long: leaves gaps on the edges."""
+    return df.withColumn("end_s", F.col("start_s") + 0.02)
 
 
 @query(
     "i1_merge_spans",
-    BASE + f""", c AS (SELECT edge_id, start_s, start_s + 2e-1 AS end_s FROM sp WHERE feature_id % 9 = 4),
+    BASE + f""", c AS (SELECT edge_id, start_s, start_s + 2e-2 AS end_s FROM sp),
 m AS (SELECT *, max(end_s) OVER (PARTITION BY edge_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
 g AS (SELECT *, sum(CASE WHEN r IS NULL OR start_s > r + 1e-8 THEN 1 ELSE 0 END) OVER (PARTITION BY edge_id ORDER BY start_s, end_s) AS k FROM m)
 SELECT edge_id, {Q('min(start_s)')} AS start_s, {Q('max(end_s)')} AS end_s FROM g GROUP BY edge_id, k""",
@@ -146,7 +146,7 @@ def _(spark, d):
 # rules on every edge: feature spans, also authored on the twins with other bounds
 I3 = BASE + """,
 ge AS (SELECT run_id, edge_id, length FROM edges UNION ALL SELECT run_id, edge_id + 1000000, length FROM edges WHERE edge_id % 2 = 0),
-gs AS (SELECT run_id, edge_id, start_s, end_s FROM sp WHERE feature_id % 9 = 4 UNION ALL SELECT run_id, edge_id + 1000000, start_s + 33e-2, end_s + 33e-2 FROM sp WHERE feature_id % 9 = 5 AND edge_id % 2 = 0),
+gs AS (SELECT run_id, edge_id, start_s, end_s FROM sp UNION ALL SELECT run_id, edge_id + 1000000, start_s + 33e-2, end_s + 33e-2 FROM sp WHERE edge_id % 2 = 0),
 tw AS (SELECT DISTINCT run_id, edge_id FROM gs),
 raw AS (SELECT ge.run_id, ge.edge_id, unnest([0, length, least(greatest(start_s, 0), length), least(greatest(end_s, 0), length)]) AS s FROM ge JOIN gs USING (run_id, edge_id)
  UNION ALL SELECT ge.run_id, ge.edge_id, unnest([least(greatest(length - start_s, 0), length), least(greatest(length - end_s, 0), length)]) FROM ge JOIN tw USING (run_id, edge_id)
@@ -159,11 +159,10 @@ b2 AS (SELECT DISTINCT b1.run_id, b1.edge_id, coalesce((SELECT min_by(v.s, abs(v
 
 def some_rules(spark, d):
     s = spans(spark, d)
-    own = s.filter("feature_id % 9 = 4")
-    other = s.filter("feature_id % 9 = 5 AND edge_id % 2 = 0").withColumns(
+    other = s.filter("edge_id % 2 = 0").withColumns(
         {"edge_id": F.col("edge_id") + TWIN, "start_s": F.col("start_s") + 0.33, "end_s": F.col("end_s") + 0.33}
     )
-    return own.unionByName(other)
+    return s.unionByName(other)
 
 
 @query("i3_sync_reverse_breaks", I3 + f" SELECT edge_id, {Q('s')} AS s FROM b2")

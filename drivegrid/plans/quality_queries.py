@@ -106,27 +106,27 @@ def _(spark, d):
 
 @query(
     "v12_swept_containment",
-    ARC2 + HEX + """, bp AS (SELECT run_id, edge_id AS pose_i, i * 10000 + u.v * 100 + w.v AS k, x - 3e-1 + 18e-1 * u.v / 18 AS x, y - 4e-1 + 8e-1 * w.v / 8 AS y FROM samples_v, range(0, 19) u(v), range(0, 9) w(v) WHERE i % 25 = 12),
+    ARC2 + HEX + """, bp AS (SELECT run_id, edge_id AS pose_i, i * 10000 + u.v * 100 + w.v AS k, x - 3e-1 + 18e-1 * u.v / 18 AS x, y - 4e-1 + 8e-1 * w.v / 8 AS y FROM samples_v, range(0, 19) u(v), range(0, 9) w(v)),
 ins AS (SELECT DISTINCT pose_i, k FROM (SELECT p.pose_i, p.k, h.feature_id FROM bp p JOIN he h ON h.run_id = p.run_id AND (h.y > p.y) <> (h.qy > p.y) AND h.x + (p.y - h.y) * (h.qx - h.x) / (h.qy - h.y) >= p.x GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1))
 SELECT run_id, pose_i, count(*) AS outside_points FROM bp WHERE (pose_i, k) NOT IN (SELECT pose_i, k FROM ins) GROUP BY 1, 2""",
 )
 def _(spark, d):
-    p = lines(spark, d).filter("i % 25 = 12").select("run_id", F.col("edge_id").alias("i"), F.col("i").alias("k"), "x", "y", F.lit(0.0).alias("yaw"))
-    # both sample poses of an edge share its id, so they are told apart by their vertex
+    p = lines(spark, d).select("run_id", F.col("edge_id").alias("i"), F.col("i").alias("k"), "x", "y", F.lit(0.0).alias("yaw"))
+    # the sample poses of an edge share its id, so they are told apart by their vertex
     rings = hexagons(spark, d).withColumnRenamed("feature_id", "ring_id")
     out = qu.swept_containment(p.withColumn("i", F.col("i") * 100 + F.col("k")), rings, 1.5, 0.3, 0.8)
     return out.groupBy("run_id", F.expr("pose_i div 100").alias("pose_i")).agg(F.count("*").alias("outside_points"))
 
 
-@query("v14_acceptance", LINKS + f""", v AS (SELECT run_id, CASE WHEN edge_id % 2 = 0 THEN 'code_a' ELSE 'code_b' END AS code FROM links_v WHERE edge_id % 500 < 6), p AS (SELECT run_id, count(*) AS n, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM v GROUP BY 1)
+@query("v14_acceptance", LINKS + f""", v AS (SELECT run_id, CASE WHEN passable THEN 'code_a' ELSE 'code_b' END AS code FROM links_v WHERE length > 10 * run_id), p AS (SELECT run_id, count(*) AS n, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM v GROUP BY 1)
 SELECT r.run_id, {Q('1 - r.run_id * 2e-3')} AS coverage, coalesce(n, 0) AS violations, coalesce(codes, '') AS codes, coalesce(n, 0) = 0 AND 1 - r.run_id * 2e-3 >= 99e-2 AS accepted FROM (SELECT DISTINCT run_id FROM links_v) r LEFT JOIN p USING (run_id)""")
 def _(spark, d):
     from drivegrid.functions.num import quantize
 
     e = links(spark, d)
-    v = e.filter("edge_id % 500 < 6")
-    a = v.filter("edge_id % 2 = 0").select("run_id", F.lit("code_a").alias("code"))
-    b = v.filter("edge_id % 2 = 1").select("run_id", F.lit("code_b").alias("code"))
+    v = e.filter("length > 10 * run_id")  # longer than a run allows
+    a = v.filter("passable").select("run_id", F.lit("code_a").alias("code"))
+    b = v.filter("NOT passable").select("run_id", F.lit("code_b").alias("code"))
     cov = e.select("run_id").distinct().withColumn("coverage", 1 - F.col("run_id") * 2e-3)
     return qu.acceptance([a, b], cov).select("run_id", quantize(F.col("coverage")).alias("coverage"), "violations", F.array_join("codes", ",").alias("codes"), "accepted")
 

@@ -72,9 +72,9 @@ def _(spark, d):
     return f.join(sp, ["run_id", "feature_id"]).select("feature_id", "edge_id", "type", q("start_s"), "name")
 
 
-@query("s11_read_edit_log", with_views("samples_v") + f""" SELECT edge_id AS op, i, {Q('x', 4)} AS x FROM samples_v WHERE i < 10""")
+@query("s11_read_edit_log", with_views("samples_v") + f""" SELECT edge_id AS op, i, {Q('x', 4)} AS x FROM samples_v""")
 def _(spark, d):
-    s = lines(spark, d).filter("i < 10")
+    s = lines(spark, d)
     ops = s.groupBy("run_id", F.col("edge_id").alias("op")).agg(F.array_sort(F.collect_list(F.struct("i", "x", "y", "z"))).alias("polyline"))
     log = tt.format_edit_log(ops.withColumns({"type": F.lit("add_edge"), "edge_id": F.col("op")}))
     back = tt.parse_edit_log(log).select("op", F.posexplode("polyline").alias("i", "p"))

@@ -106,16 +106,16 @@ def _(spark, d):
     return sp.self_intersections(measured(mixed)).select("edge_id", "crossings", "first_i")
 
 
-# hexagons around every 25th sample vertex; feature_id = edge_id * 2 + (0 | 1)
-HEX = """, hx AS (SELECT run_id, edge_id * 2 + CAST(floor(i / 25e0) AS BIGINT) AS feature_id, k.v AS i, x + 13e-1 * cos(k.v * pi() / 3 + edge_id) AS x, y + 9e-1 * sin(k.v * pi() / 3 + edge_id) AS y FROM samples_v, range(0, 6) k(v) WHERE i % 25 = 12),
+# hexagons around every sample vertex; feature_id = edge_id * 50 + i
+HEX = """, hx AS (SELECT run_id, edge_id * 50 + i AS feature_id, k.v AS i, x + 13e-1 * cos(k.v * pi() / 3 + edge_id) AS x, y + 9e-1 * sin(k.v * pi() / 3 + edge_id) AS y FROM samples_v, range(0, 6) k(v)),
 he AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS qx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS qy FROM hx WINDOW w AS (PARTITION BY feature_id ORDER BY i))"""
 
 
 def hexagons(spark, d):
-    s = lines(spark, d).filter("i % 25 = 12")
+    s = lines(spark, d)
     k = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
     a = F.col("k") * math.pi / 3 + F.col("edge_id")
-    h = k.select("run_id", (F.col("edge_id") * 2 + F.floor(F.col("i") / 25)).alias("feature_id"), F.col("k").alias("i"), (F.col("x") + 1.3 * F.cos(a)).alias("x"), (F.col("y") + 0.9 * F.sin(a)).alias("y"))
+    h = k.select("run_id", (F.col("edge_id") * 50 + F.col("i")).alias("feature_id"), F.col("k").alias("i"), (F.col("x") + 1.3 * F.cos(a)).alias("x"), (F.col("y") + 0.9 * F.sin(a)).alias("y"))
     return measured(h)
 
 
@@ -201,7 +201,7 @@ def _(spark, d):
 
 
 # anchors: sample vertices shifted aside
-ANCH = ARC2 + ARC3 + """, an AS (SELECT run_id, edge_id * 100 + i AS anchor_id, x + 15e-2 AS x, y + (i % 5) * 1e-1 AS y, z FROM samples_v WHERE i % 5 = 3),
+ANCH = ARC2 + ARC3 + """, an AS (SELECT run_id, edge_id * 100 + i AS anchor_id, x + 15e-2 AS x, y + (i % 5) * 1e-1 AS y, z FROM samples_v),
 dj AS (SELECT a.anchor_id, g.edge_id, g.i, g.s, g.s1, a.x - g.x AS px, a.y - g.y AS py, a.z - g.z AS pz, g.x1-g.x AS dx, g.y1-g.y AS dy, g.z1-g.z AS dz FROM an a JOIN sg3 g ON g.run_id = a.run_id),
 dr AS (SELECT *, least(1, greatest(0, (px*dx+py*dy+pz*dz) / (dx*dx+dy*dy+dz*dz))) AS r FROM dj),
 de AS (SELECT *, sqrt((px-dx*r)**2 + (py-dy*r)**2 + (pz-dz*r)**2) AS dist FROM dr)"""
@@ -215,13 +215,13 @@ SELECT d.anchor_id, arg_min(d.edge_id, d.dist) AS edge_id, {Q('min(d.dist)')} AS
 )
 def _(spark, d):
     ls = lines(spark, d)
-    a = ls.filter("i % 5 = 3").select("run_id", (F.col("edge_id") * 100 + F.col("i")).alias("anchor_id"), (F.col("x") + 0.15).alias("x"), (F.col("y") + (F.col("i") % 5) * 0.1).alias("y"), "z")
+    a = ls.select("run_id", (F.col("edge_id") * 100 + F.col("i")).alias("anchor_id"), (F.col("x") + 0.15).alias("x"), (F.col("y") + (F.col("i") % 5) * 0.1).alias("y"), "z")
     return sp.project_to_graph(a, sp.line_segments(ls), 0.3, exhaustive=True).select("anchor_id", "edge_id", q("distance"), q("arc_s"), "ambiguous")
 
 
 @query(
     "j22_auto_elevation",
-    ARC2 + ARC3 + ", " + with_views("points_v").replace("WITH ", "") + f""", qs AS (SELECT run_id, edge_id * 100 + i AS anchor_id, x + 4 AS x, y - (i % 10) * 6e-1 AS y FROM samples_v WHERE i % 5 = 2),
+    ARC2 + ARC3 + ", " + with_views("points_v").replace("WITH ", "") + f""", qs AS (SELECT run_id, edge_id * 100 + i AS anchor_id, x + 4 AS x, y - (i % 10) * 6e-1 AS y FROM samples_v),
 dj AS (SELECT a.anchor_id, g.z + (g.z1 - g.z) * least(1, greatest(0, ((a.x-g.x)*(g.x1-g.x) + (a.y-g.y)*(g.y1-g.y)) / ((g.x1-g.x)**2 + (g.y1-g.y)**2))) AS z, sqrt((g.x + (g.x1-g.x) * least(1, greatest(0, ((a.x-g.x)*(g.x1-g.x) + (a.y-g.y)*(g.y1-g.y)) / ((g.x1-g.x)**2 + (g.y1-g.y)**2))) - a.x)**2
   + (g.y + (g.y1-g.y) * least(1, greatest(0, ((a.x-g.x)*(g.x1-g.x) + (a.y-g.y)*(g.y1-g.y)) / ((g.x1-g.x)**2 + (g.y1-g.y)**2))) - a.y)**2) AS dist FROM qs a JOIN sg3 g ON g.run_id = a.run_id AND g.x BETWEEN a.x - 6 AND a.x + 6),
 nr AS (SELECT anchor_id, arg_min(z, dist) AS lz FROM dj WHERE dist <= 5e-1 GROUP BY 1),
@@ -231,7 +231,7 @@ SELECT anchor_id, {Q('coalesce(lz, cz)')} AS z, CASE WHEN lz IS NOT NULL THEN 'r
 )
 def _(spark, d):
     ls = lines(spark, d)
-    qs = ls.filter("i % 5 = 2").select("run_id", (F.col("edge_id") * 100 + F.col("i")).alias("anchor_id"), (F.col("x") + 4).alias("x"), (F.col("y") - (F.col("i") % 10) * 0.6).alias("y"))
+    qs = ls.select("run_id", (F.col("edge_id") * 100 + F.col("i")).alias("anchor_id"), (F.col("x") + 4).alias("x"), (F.col("y") - (F.col("i") % 10) * 0.6).alias("y"))
     return sp.auto_elevation(qs, sp.line_segments(ls), view(spark, d, "points_v"), reach=0.5).select("anchor_id", q("z"), "source")
 
 
@@ -248,7 +248,7 @@ def _(spark, d):
 
 
 BODY = SPT + """,
-yp AS (SELECT run_id, edge_id, i, x, y, (edge_id % 7) * 3e-1 + i * 5e-2 AS yaw FROM samples_v WHERE i % 5 = 0),
+yp AS (SELECT run_id, edge_id, i, x, y, (edge_id % 7) * 3e-1 + i * 5e-2 AS yaw FROM samples_v),
 bb AS (SELECT *, x + cos(yaw) * 15e-2 AS mx, y + sin(yaw) * 15e-2 AS my, 45e-2 * abs(cos(yaw)) + 25e-2 * abs(sin(yaw)) AS ex, 45e-2 * abs(sin(yaw)) + 25e-2 * abs(cos(yaw)) AS ey FROM yp),
 bc AS (SELECT b.*, mx - ex < -1 OR my - ey < -1 OR mx + ex > 29 OR my + ey > 29 AS outside, CAST(floor((mx + 1) / 5e-1) AS BIGINT) + dx.v AS cx, CAST(floor((my + 1) / 5e-1) AS BIGINT) + dy.v AS cy FROM bb b, range(-2, 3) dx(v), range(-2, 3) dy(v)),
 bh AS (SELECT *, -1 + (cx + 5e-1) * 5e-1 - mx AS gx, -1 + (cy + 5e-1) * 5e-1 - my AS gy FROM bc),
@@ -260,7 +260,7 @@ ov AS (SELECT h.run_id, h.edge_id, h.i, h.cx, h.cy, outside, coalesce(obstacle,
 
 def overlap(spark, d):
     cells, grid = grid_cells(spark, d)
-    p = lines(spark, d).filter("i % 5 = 0").select("run_id", "edge_id", "i", "x", "y", ((F.col("edge_id") % 7) * 0.3 + F.col("i") * 0.05).alias("yaw"))
+    p = lines(spark, d).select("run_id", "edge_id", "i", "x", "y", ((F.col("edge_id") % 7) * 0.3 + F.col("i") * 0.05).alias("yaw"))
     return p, sp.footprint_overlap(p, cells, grid, 0.5, "rectangle", 0.6, 0.3, 0.5)
 
 
