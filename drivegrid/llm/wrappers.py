@@ -20,6 +20,7 @@ import html
 import json
 import re
 from dataclasses import dataclass, field
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +59,7 @@ _MAIN_TAGS = frozenset(("article", "main"))
 _NAME_WORDS = re.compile(r"[a-z]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MAYBE = re.compile(r"class|id|role|hidden", re.I)
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -75,7 +77,7 @@ def parse(source: str) -> Element:
     """Tree of a page; forgiving about tags that are missing, crossed or left open."""
     root = Element("#root", "#root", False)
     stack = [root]
-    at, low = 0, None
+    at = 0
     while match := _TOKEN.match(source, at):
         at = match.end()
         token = match[0]
@@ -92,10 +94,8 @@ def parse(source: str) -> Element:
         else:
             _open(stack, tag, match[3] or "")
             if tag in RAW:
-                if low is None:
-                    low = _ascii_lower(source)
-                end = low.find(f"</{tag}", at)
-                end = len(source) if end < 0 else end
+                end = _end_of(tag).search(source, at)
+                end = len(source) if end is None else end.start()
                 stack[-1].children.append(source[at:end])
                 at = end
             elif tag in VOID:
@@ -105,8 +105,20 @@ def parse(source: str) -> Element:
     return root
 
 
-def _ascii_lower(s: str) -> str:
-    return s.translate({c: c + 32 for c in range(65, 91)})
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}", re.I | re.A)
+
+
+@lru_cache(maxsize=20_000)
+def _read_attributes(tag: str, attributes: str) -> tuple[str, bool]:
+    """Label of an element and whether its attributes set it aside."""
+    found = {m[0].lower(): (m[1] or m[2] or m[3] or "").lower() for m in _ATTR.findall(attributes)} if attributes else {}
+    names = _NAME_WORDS.findall(found.get("class", "") + " " + found.get("id", ""))
+    aside = tag in ASIDE_TAGS or found.get("role", "") in _ROLES or "hidden" in found and found["hidden"] != "until-found" or found.get("aria-hidden") == "true"
+    if tag not in ("html", "body", "main", "article") and not aside:
+        aside = any(w in _ASIDE_WORDS for w in names)
+    return ".".join([tag, *sorted(set(names))]), aside
 
 
 def _open(stack: list[Element], tag: str, attributes: str) -> None:
@@ -126,15 +138,10 @@ def _open(stack: list[Element], tag: str, attributes: str) -> None:
                 del stack[k:]
                 if tag != "tr":
                     break
-    found = {m[0].lower(): (m[1] or m[2] or m[3] or "").lower() for m in _ATTR.findall(attributes)} if attributes.strip(" /") else {}
-    found = {k: v for k, v in ((m, found[m]) for m in found)}
-    names = _NAME_WORDS.findall(found.get("class", "") + " " + found.get("id", ""))
-    aside = tag in ASIDE_TAGS or found.get("role", "") in _ROLES or "hidden" in found and found["hidden"] != "until-found" or found.get("aria-hidden") == "true"
-    if tag not in ("html", "body", "main", "article") and not aside:
-        aside = any(w in _ASIDE_WORDS for w in names)
+    label, aside = _read_attributes(tag, attributes if _MAYBE.search(attributes) else "")
     if tag == "header" and not any(e.tag in _MAIN_TAGS for e in stack):
         aside = True
-    element = Element(tag, ".".join([tag, *sorted(set(names))]), aside)
+    element = Element(tag, label, aside)
     stack[-1].children.append(element)
     stack.append(element)
 
