@@ -53,7 +53,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = 3.0) -> Data
         above = F.col("w") * level > ceiling if level >= 0 else F.lit(False)
         used, free = per.agg(F.coalesce(F.sum(F.when(above, ceiling)), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("w"))), F.lit(0.0))).first()
         new = (total - used) / free if free > 0 else level
-        if new <= level * (1 + 1e-12):
+        if new <= level + 1e-12 * abs(level):
             break
         level = new
     return per.select("src", "source", "n_rows", "source_size", F.least(F.col("w") * F.lit(max(level, 0.0)), ceiling).alias("target"))
