@@ -11,9 +11,9 @@ threshold itself exceeds the target.
 
 Nothing is emitted pair by pair. Texts with equal words are one class from the start. Classes
 that share a prefix with another are candidates; they are sorted by their smallest neighbour
-and path and cut into blocks of bounded total size. Two blocks that share a prefix
-meet in one task, which verifies their candidate pairs with array operations and returns link
-counts and a spanning forest. A group of near copies of any size is thus many block pairs.
+and path and cut into blocks of bounded total size. The texts of two blocks that share a
+prefix meet in one task, which verifies the candidate pairs with array operations and returns
+link counts and a spanning forest. A group of near copies of any size is thus many block pairs.
 """
 
 from __future__ import annotations
@@ -291,19 +291,19 @@ def _links(df, classes, row_id, text, threshold, size, trees, depth, floor, targ
     crowded = keys.groupBy("tree_key").agg(F.count("*").alias("c"), F.min("node").alias("low")).filter("c > 1")
     keys = written(keys.join(crowded, "tree_key").select("node", "tree_key", "low"))
     # texts stand beside the smallest one they share a prefix with: this only brings candidates
-    # together in few blocks, every pair of blocks with a common prefix is looked at
+    # together in few blocks; texts with a common prefix meet wherever they stand
     near = keys.groupBy("node").agg(F.min("low").alias("beside"))
     cand = near.join(classes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("beside", "node", "digest", "mult", "n", "sig")
     cand = cand.withColumns({"path": F.substring("sig", 1, 4 * depth), "n": F.col("n") + 500})
     cand = running_totals(cand, ["beside", "path", "node", "digest"], {"upto": F.col("n")})
     cand = written(cand.withColumn("block", F.expr(f"(upto - 1) div {block_shingles}L")).select("node", "digest", "mult", "sig", "block"))
-    # blocks that share a prefix; each block also meets itself
-    at = written(keys.join(cand.select("node", "block"), "node").select("tree_key", "block").distinct())
-    other = at.select("tree_key", F.col("block").alias("other"))
-    meet = at.join(other, "tree_key").filter("block <= other").select(F.col("block").alias("one"), F.col("other").alias("two")).distinct()
-    homes = meet.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("block"), "one", "two")
+    # a text goes to the meeting of its block with every block that holds one of its prefixes
+    keyed = written(keys.join(cand.select("node", "block"), "node").select("node", "tree_key", "block"))
+    other = keyed.select("tree_key", F.col("block").alias("other")).distinct()
+    homes = keyed.join(other, "tree_key").select("node", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct()
     # one text of each class gives its shingles
-    pairs = _shingle_sets(df, cand, row_id, text, size).select("node", "digest", "mult", "sig", "shingles", "block").join(homes, "block")
+    sets = _shingle_sets(df, cand, row_id, text, size).select("node", "digest", "mult", "sig", "shingles", "block")
+    pairs = sets.join(homes, "node")
     return written(pairs.groupBy("one", "two").applyInPandas(_verify_blocks(threshold, trees, depth, floor, target), "node long, top long, links long"))
 
 
