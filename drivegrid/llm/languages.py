@@ -30,7 +30,7 @@ FIT_ROWS = 4000
 SWITCH_PENALTY = 6.0
 #: Characters whose n-grams are scored at once (less with many languages), and characters of
 #: the texts that take the Viterbi steps together: bounds of the arrays, not of the texts.
-SCORE_CHARS, STEP_CHARS = 800_000, 12_000_000
+SCORE_CHARS, STEP_CHARS = 400_000, 4_000_000
 
 #: First code points of script ranges and the script that begins there.
 SCRIPT_STARTS = [
@@ -265,10 +265,12 @@ def filter_texts(df: DataFrame, model: Model, min_share: float, text: str = "tex
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-            names, score, _ = decide(shared.value, texts, penalty)
-            yield batch.filter(pa.array((names != "und") & (score >= min_share)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
+                names, score, _ = decide(shared.value, texts, penalty)
+                yield batch.filter(pa.array((names != "und") & (score >= min_share)))
 
     return df.mapInArrow(run, df.schema)
 
