@@ -28,6 +28,8 @@ BUCKETS = 1 << 16
 #: Labelled rows per language that the classifier is fitted on (about; chosen by hash of the id).
 FIT_ROWS = 4000
 SWITCH_PENALTY = 6.0
+#: Share of the probability that is spread evenly over all n-grams.
+UNSEEN = 0.05
 #: Characters whose n-grams are scored at once (less with many languages), and characters of
 #: the texts that take the Viterbi steps together: bounds of the arrays, not of the texts.
 SCORE_CHARS, STEP_CHARS = 400_000, 4_000_000
@@ -175,7 +177,8 @@ def fit(df: DataFrame, row_id: str = "doc_id", text: str = "text", lang: str = "
     grams, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPTS), len(langs)))
     g, s = found[found.kind == 0], found[found.kind == 1]
     grams[g.k, g.lang], scripts[s.k, s.lang] = g.n, s.n
-    weights = np.log((grams + 0.5) / (grams.sum(0) + 0.5 * BUCKETS))
+    # an n-gram never seen is equally likely in all languages, however much text each has
+    weights = np.log((1.0 - UNSEEN) * grams / np.maximum(grams.sum(0), 1) + UNSEEN / BUCKETS)
     allowed = scripts >= np.maximum(1, 0.01 * scripts.sum(0))
     prior = np.array([counts[v] for v in langs], dtype=float)
     return Model(langs, weights.astype(np.float32), allowed, prior / prior.sum())
