@@ -149,6 +149,12 @@ def test_model_beats_base_on_held_out_texts(spark):
     assert sum(r["score"] for r in held) > 0.99 * sum(r["base_score"] for r in held)
 
 
+def test_model_gains_three_percent_on_held_out_texts(spark):
+    got = rows(maxent.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), languages.held_out("doc_id", 7)))
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.97 * sum(r["base_score"] for r in held)
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     w = rng.normal(size=(maxent.ROWS, 5)).astype(np.float32)
