@@ -12,12 +12,12 @@ from drivegrid.llm.common import read, written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: A text stays when at least this share of its letters is in one language.
+#: A text stays when at least this share of its letters is in known languages, however many.
 MIN_SHARE = 0.5
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or without a language that holds half of the letters, go.
+    """Texts without a letter, or with less than half of their letters in known languages, go.
 
     The decision is a column of the text itself, so no text is shuffled."""
     model = languages.fit(docs.filter(~languages.held_out("doc_id")))

@@ -235,10 +235,10 @@ def label_words(model: Model, texts: list[str], penalty: float = SWITCH_PENALTY)
     return words, viterbi(np.concatenate(scored), words.doc, penalty)
 
 
-def decide(m: Model, texts: list[str], penalty: float, spans: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """Language name, share of letters and spans of each text."""
+def decide(m: Model, texts: list[str], penalty: float, spans: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Language name, its share of letters, that of all languages together and spans of each text."""
     names = np.array([*m.langs, "und"], dtype=object)
-    pred, score, found = np.full(len(texts), len(m.langs)), np.zeros(len(texts)), [[] for _ in texts] if spans else []
+    pred, score, known_share, found = np.full(len(texts), len(m.langs)), np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts] if spans else []
     for first, part in _parts(texts, STEP_CHARS) if m.langs else ():
         w, label = label_words(m, part, penalty)
         if not len(label):
@@ -251,17 +251,18 @@ def decide(m: Model, texts: list[str], penalty: float, spans: bool = False) -> t
         here = total > 0
         pred[first:first + len(part)] = np.where(here, best, len(m.langs))
         score[first:first + len(part)] = np.where(here, letters.max(1) / np.maximum(total, 1), 0.0)
+        known_share[first:first + len(part)] = np.where(here, letters.sum(1) / np.maximum(total, 1), 0.0)
         if spans:
             turn = np.flatnonzero((np.diff(w.doc, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
             after = np.append(turn[1:], len(label)) - 1
             for a, b in zip(turn, after):
                 found[first + w.doc[a]].append((int(w.begin[a]), int(w.begin[b] + w.length[b]), names[label[a]]))
-    return names[pred], score, found
+    return names[pred], score, known_share, found
 
 
 def filter_texts(df: DataFrame, model: Model, min_share: float, text: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """The rows of ``df`` whose text has a language with at least ``min_share`` of its letters.
-    Null texts, texts without a letter and unknown scripts go. All columns stay as they are."""
+    """The rows of ``df`` whose text has at least ``min_share`` of its letters in words that a known
+    language was given, all languages together: texts that mix several stay. Null texts, texts without a letter and unknown scripts go. All columns stay as they are."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 
@@ -272,8 +273,8 @@ def filter_texts(df: DataFrame, model: Model, min_share: float, text: str = "tex
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
                 texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
-                names, score, _ = decide(shared.value, texts, penalty)
-                yield batch.filter(pa.array((names != "und") & (score >= min_share)))
+                names, _, known, _ = decide(shared.value, texts, penalty)
+                yield batch.filter(pa.array((names != "und") & (known >= min_share)))
 
     return df.mapInArrow(run, df.schema)
 
@@ -291,7 +292,7 @@ def predict(df: DataFrame, model: Model, row_id: str = "doc_id", text: str = "te
 
     def run(batches):
         for pdf in batches:
-            names, score, found = decide(shared.value, pdf["text"].tolist(), penalty, spans)
+            names, score, _, found = decide(shared.value, pdf["text"].tolist(), penalty, spans)
             out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": names, "score": score})
             yield out.assign(spans=found) if spans else out
 

@@ -91,6 +91,17 @@ def test_mixed_text_is_cut_into_spans(spark):
     assert half["de"] > 500 and half["en"] > 500 and 0.3 < r["score"] < 0.75
 
 
+def test_filter_keeps_texts_of_three_languages(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = languages.fit(df)
+    langs = [r[0] for r in df.filter("lang IS NOT NULL").groupBy("lang").count().orderBy("lang").limit(3).collect()]
+    parts = [df.filter((F.col("lang") == v) & (F.length("text") > 800)).orderBy("doc_id").first()["text"][:n] for v, n in zip(langs, (800, 600, 600))]
+    mixed = spark.createDataFrame([(1, " ".join(parts)), (2, "\u0e01\u0e02 " * 50), (3, "12 34")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in rows(languages.predict(mixed, model))}
+    assert found[1]["score"] < 0.5
+    assert [r["doc_id"] for r in rows(languages.filter_texts(mixed, model, 0.5))] == [1]
+
+
 def test_odd_texts(spark, odd, empty):
     model = languages.fit(odd)
     got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in rows(languages.predict(odd, model))}
