@@ -142,3 +142,21 @@ def test_no_vectors(spark):
     assert vector_links.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
     one = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int")
     assert [tuple(r) for r in vector_links.link_vectors(one).collect()] == [(1, 1, 1, True)] * 2
+
+
+def test_recall_inside_a_dense_cluster(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    n, dense = 30_000, 10_000
+    x = rng.normal(size=(n, 64))
+    x[:dense] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(dense, 64)) * (0.11 ** 0.5 / 8)  # mutual cosine about 0.9
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x), "label": 0}), "vec_id long, embedding array<float>, label int")
+    got = np.zeros(n, dtype=np.int64)
+    for r in vector_links.link_vectors(df.repartition(8)).select("vec_id", "n_links").collect():
+        got[r[0]] = r[1]
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = np.concatenate([(unit[k:k + 1000] @ unit.T >= 0.93).sum(1) - 1 for k in range(0, n, 1000)])
+    assert want[:dense].sum() > 100_000 and (got <= want).all()
+    assert got.sum() >= 0.98 * want.sum()
