@@ -13,6 +13,7 @@ each number finds its sequence and offset in the plan.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -35,7 +36,9 @@ _ENCODERS: dict[str, "Encoder"] = {}
 class Encoder(dict):
     """Token ids (little-endian uint32 bytes) of a byte-level BPE vocabulary, with a bounded
     cache of space-separated chunks: the vocabulary's own pattern always splits before a space
-    that is followed by a word, so chunks can be encoded one by one."""
+    that is followed by a word, so chunks can be encoded one by one. Texts are first cut at the
+    added tokens of the vocabulary's JSON form (of several at one place the longest), which have
+    ids of their own; no chunk goes across one."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -44,6 +47,10 @@ class Encoder(dict):
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._raw = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(vocabulary.removesuffix(".tiktoken") + ".json"), encoding="utf-8") as f:
+            found = json.load(f)["added_tokens"]
+        self._added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in found}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if found else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self._raw.encode_ordinary(text), dtype="<u4").tobytes()
@@ -55,6 +62,11 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self._cut is None or not self._cut.search(text):
+            return self._plain(text)
+        return b"".join(self._added[t] if k % 2 else self._plain(t) for k, t in enumerate(self._cut.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         if _LOOSE.search(text):
             return self.whole(text)
         head, *rest = text.split(" ")

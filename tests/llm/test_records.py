@@ -200,3 +200,11 @@ def test_cached_encoding_equals_the_library():
     enc = packing.encoder("byte_bpe_50k.tiktoken")
     for text in ["", " ", "  a", "a  b", "a \n b", "a\n b\n\n c ", "it's we'll", "x  y", "Ünï 漢字 🙂", "a\t b  ", "<|endoftext|> x"[13:], "\n \n x", "tab\t\tx  y   z"]:
         assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == encode(text), repr(text)
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|> x", "x  <|endoftext|>", "<|endoftext|><|endoftext|>\n y ", "<|endoftext| >", "it's<|endoftext|>'s"])
+def test_added_tokens_have_their_ids(spark, text):
+    ids = np.frombuffer(packing.encoder("byte_bpe_50k.tiktoken").encode(text), dtype="<u4").tolist()
+    assert ids == encode(text)
+    got = rows(packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    assert [(r["length"], r["ids_crc32"]) for r in got] == [(len(ids) + 1, zlib.crc32(np.array([*ids, 0], dtype="<u4").tobytes()))]
