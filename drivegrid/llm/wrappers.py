@@ -47,7 +47,7 @@ ENDED_BY = {
     "body": ({"head"}, {"html"}),
 }
 #: Elements that never belong to the article.
-ASIDE_TAGS = frozenset("head nav footer aside form script style noscript template iframe svg canvas object select button textarea dialog menu title".split())
+ASIDE_TAGS = frozenset("head nav footer aside script style noscript template iframe svg canvas object select button textarea dialog menu title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
@@ -56,6 +56,9 @@ _ASIDE_WORDS = frozenset(
     "toolbar widget".split()
 )
 _MAIN_TAGS = frozenset(("article", "main"))
+_WHOLE = frozenset(("#root", "html", "body"))
+#: Elements whose ids are often slugs of their titles.
+_SLUGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 _NAME_WORDS = re.compile(r"[a-z]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -65,11 +68,14 @@ _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 @dataclass
 class Element:
-    """An element of a page. ``label``: tag and class words, the same on all pages of a site."""
+    """An element of a page. ``label``: tag and class words, the same on all pages of a site.
+    ``aside``: never in the article. ``weak``: looks set aside by a word of its names, which
+    counts outside the article only."""
 
     tag: str
     label: str
     aside: bool
+    weak: bool = False
     children: list = field(default_factory=list)  # Element or str
 
 
@@ -77,6 +83,7 @@ def parse(source: str) -> Element:
     """Tree of a page; forgiving about tags that are missing, crossed or left open."""
     root = Element("#root", "#root", False)
     stack = [root]
+    open_: list[Element] = []  # forms and weak elements
     at = 0
     while match := _TOKEN.match(source, at):
         at = match.end()
@@ -93,6 +100,8 @@ def parse(source: str) -> Element:
             _close(stack, tag)
         else:
             _open(stack, tag, match[3] or "")
+            if stack[-1].weak or tag == "form" and not stack[-1].aside:
+                open_.append(stack[-1])
             if tag in RAW:
                 end = _end_of(tag).search(source, at)
                 end = len(source) if end is None else end.start()
@@ -102,23 +111,51 @@ def parse(source: str) -> Element:
                 stack.pop()
         if at >= len(source):
             break
+    if open_:
+        _settle(root, open_)
     return root
 
 
+def _settle(root: Element, open_: list[Element]) -> None:
+    """Forms are set aside and weak elements stay weak, but for those that hold most words of
+    the page: these are plain containers."""
+    words: dict[int, int] = {}
+
+    def count(element: Element) -> int:
+        n = 0
+        for child in element.children:
+            if isinstance(child, str):
+                n += len(child.split())
+            elif not child.aside:
+                n += count(child)
+        words[id(element)] = n
+        return n
+
+    total = count(root)
+    for element in open_:
+        small = 2 * words.get(id(element), 0) <= total
+        element.weak = element.weak and small
+        if element.tag == "form":
+            element.aside = small
+
+
 @cache
 def _end_of(tag: str) -> re.Pattern:
     return re.compile(f"</{tag}", re.I | re.A)
 
 
 @lru_cache(maxsize=20_000)
-def _read_attributes(tag: str, attributes: str) -> tuple[str, bool]:
-    """Label of an element and whether its attributes set it aside."""
+def _read_attributes(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Label of an element, whether its attributes set it aside and whether a word of its names might."""
     found = {m[0].lower(): (m[1] or m[2] or m[3] or "").lower() for m in _ATTR.findall(attributes)} if attributes else {}
     names = _NAME_WORDS.findall(found.get("class", "") + " " + found.get("id", ""))
-    aside = tag in ASIDE_TAGS or found.get("role", "") in _ROLES or "hidden" in found and found["hidden"] != "until-found" or found.get("aria-hidden") == "true"
+    role = found.get("role", "")
+    aside = tag in ASIDE_TAGS or role in _ROLES and (tag, role) != ("form", "form") or "hidden" in found and found["hidden"] != "until-found" or found.get("aria-hidden") == "true"
+    weak = False
     if tag not in ("html", "body", "main", "article") and not aside:
-        aside = any(w in _ASIDE_WORDS for w in names)
-    return ".".join([tag, *sorted(set(names))]), aside
+        aside = any(w in _ASIDE_WORDS for w in found.get("class", "").split())
+        weak = not aside and tag not in _SLUGS and any(w in _ASIDE_WORDS for w in names)
+    return ".".join([tag, *sorted(set(names))]), aside, weak
 
 
 def _open(stack: list[Element], tag: str, attributes: str) -> None:
@@ -138,10 +175,10 @@ def _open(stack: list[Element], tag: str, attributes: str) -> None:
                 del stack[k:]
                 if tag != "tr":
                     break
-    label, aside = _read_attributes(tag, attributes if _MAYBE.search(attributes) else "")
+    label, aside, weak = _read_attributes(tag, attributes if _MAYBE.search(attributes) else "")
     if tag == "header" and not any(e.tag in _MAIN_TAGS for e in stack):
         aside = True
-    element = Element(tag, label, aside)
+    element = Element(tag, label, aside, weak and not any(e.tag in _MAIN_TAGS for e in stack))
     stack[-1].children.append(element)
     stack.append(element)
 
@@ -182,7 +219,7 @@ def wrapper_of(element: Element) -> list:
     for part in parts:
         if part[1] == "#text":
             part[2][0] = part[2][0] if len(part[2][0]) <= 80 else None  # longer text is never a template's
-    name = ("!" if element.aside else "") + element.label
+    name = ("!" if element.aside or element.weak else "") + element.label
     return ["1", name, fold(parts)]
 
 
@@ -311,12 +348,14 @@ def _marked(part: list, path: list[str]) -> tuple[int, list[str]] | None:
 def _at_path(element: Element, path: list[str]) -> list[Element]:
     here = [element]
     for name in path[1:]:
-        here = [c for e in here for c in e.children if isinstance(c, Element) and not c.aside and c.label == name]
+        here = [c for e in here for c in e.children if isinstance(c, Element) and not c.aside and not c.weak and c.label == name]
     return here
 
 
 def blocks_of(element: Element) -> list[str]:
-    """Texts of the blocks below an element in page order; what stands aside is left out."""
+    """Texts of the blocks below an element in page order; what stands aside is left out,
+    by a word of its names only where the whole page is read."""
+    whole = element.tag in _WHOLE
     out: list[str] = []
     run: list[str] = []
 
@@ -338,7 +377,7 @@ def blocks_of(element: Element) -> list[str]:
             run.append(child)
         elif child.tag == "br":
             run.append(" ")
-        elif not child.aside:
+        elif not (child.aside or whole and child.weak):
             block = child.tag in BLOCK
             if block:
                 end()

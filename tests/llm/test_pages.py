@@ -115,3 +115,22 @@ def test_pipeline_stages_keep_their_promises(spark):
             assert after.filter("piece = 0 AND start = 0").count() == before.count()
         state["docs"] = after
     assert cp.run(spark, sf_dir).count() > 0
+
+
+def test_words_within_ids_do_not_drop_article_text():
+    parts = [
+        '<h2 id="related-work">Related work</h2>', '<section id="navigation">How birds find home</section>', '<div id="social-history">A history of towns</div>',
+        '<h3 id="share-of-votes">Share of votes</h3>',
+    ]
+    want = ["Related work", "How birds find home", "A history of towns", "Share of votes", "The end " * 3]
+    for tag in ("article", "div id=content"):
+        body = "".join(parts) + "<p>" + want[-1] + "</p><div class='share'>Post it</div>"
+        page = f"<html><body><div class='site-nav'>Home News</div><{tag}>{body}</{tag.split()[0]}></body></html>"
+        assert wrappers.main_text(page, None) == "\n\n".join(w.strip() for w in want)
+
+
+def test_a_form_around_the_page_is_a_container():
+    page = "<html><body><form id=aspnetForm><p>" + "word " * 30 + "</p><p>End</p><form class=x><p>Your name</p></form></form></body></html>"
+    assert wrappers.main_text(page, None).startswith("word word") and "End" in wrappers.main_text(page, None)
+    small = "<html><body><article><p>" + "word " * 30 + "</p><form><p>Your name</p></form></article></body></html>"
+    assert "name" not in wrappers.main_text(small, None)
