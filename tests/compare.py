@@ -57,7 +57,7 @@ def difference(spark_table, sql_table) -> str | None:
 
 
 def main() -> int:
-    from drivegrid.plans import catalog
+    import __spark_entry__
     from drivegrid.session import build_session
 
     ap = argparse.ArgumentParser()
@@ -71,8 +71,9 @@ def main() -> int:
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
+    checks = __spark_entry__.oracle_sql()
     failed = []
-    for name, fn in catalog.QUERIES.items():
+    for name, fn in __spark_entry__.queries().items():
         if args.parts and not any(p in name for p in args.parts):
             continue
         t = time.time()
@@ -80,8 +81,8 @@ def main() -> int:
             got = fn(spark, sf_dir).toArrow()
             took = time.time() - t
             note = "no check"
-            if name in catalog.CHECKS:
-                want = con.execute(catalog.CHECKS[name]).to_arrow_table()
+            if name in checks:
+                want = con.execute(checks[name]).to_arrow_table()
                 note = difference(got, want) or "ok"
             if note not in ("ok", "no check"):
                 failed.append(name)
