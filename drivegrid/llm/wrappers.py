@@ -12,6 +12,11 @@ The wrapper then tells where the article is: menus, headers, footers, sidebars,
 adverts, forms and comments are set aside by role, and the article's path is the deepest
 element that holds most of the words of the remaining variable slots. Every page is read with
 the path of its host; a page on which that path holds nothing is read with its own wrapper.
+
+A class word sets a container aside. A heading, paragraph or other element of text with such a
+word is judged by the wrapper: it goes where all its slots are constant on the host's pages.
+
+Trees may be of any depth: nothing here recurses, and wrappers travel as flat lists.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
 
@@ -59,28 +66,37 @@ _MAIN_TAGS = frozenset(("article", "main"))
 _WHOLE = frozenset(("#root", "html", "body"))
 #: Elements whose ids are often slugs of their titles.
 _SLUGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+#: Elements of text: a class word alone says little about them.
+_TEXT_TAGS = frozenset(
+    "h1 h2 h3 h4 h5 h6 p li dt dd td th tr caption blockquote pre figcaption span a b i em strong small mark q cite code u s sub sup abbr time label".split()
+)
 _NAME_WORDS = re.compile(r"[a-z]+")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A quote opens a value after an equals sign only; one that is never closed is a plain character.
+_VALUE = r"""=[\s]*+(?:"[^"]*+"|'[^']*+')?+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|{_VALUE})*+)>|<(?=/?[a-zA-Z]).*\Z|[^<]++|<", re.S)
+_ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?)?""")
 _MAYBE = re.compile(r"class|id|role|hidden", re.I)
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     """An element of a page. ``label``: tag and class words, the same on all pages of a site.
     ``aside``: never in the article. ``weak``: looks set aside by a word of its names, which
-    counts outside the article only."""
+    counts outside the article only. ``named``: an element of text with a class word, set
+    aside where the host's wrapper shows a constant."""
 
     tag: str
     label: str
     aside: bool
     weak: bool = False
+    named: bool = False
     children: list = field(default_factory=list)  # Element or str
 
 
 def parse(source: str) -> Element:
-    """Tree of a page; forgiving about tags that are missing, crossed or left open."""
+    """Tree of a page; forgiving about tags that are missing, crossed or left open. What
+    follows a tag that never ends is text."""
     root = Element("#root", "#root", False)
     stack = [root]
     open_: list[Element] = []  # forms and weak elements
@@ -90,7 +106,7 @@ def parse(source: str) -> Element:
         token = match[0]
         name = match[2]
         if name is None:
-            if token[0] != "<" or token == "<":
+            if token[:2] not in ("<!", "<?"):
                 stack[-1].children.append(token)
             if at >= len(source):
                 break
@@ -116,22 +132,22 @@ def parse(source: str) -> Element:
     return root
 
 
+def _downward(root: Element) -> list[Element]:
+    """All elements, every one before those inside it."""
+    found, at = [root], 0
+    while at < len(found):
+        found.extend(c for c in found[at].children if not isinstance(c, str))
+        at += 1
+    return found
+
+
 def _settle(root: Element, open_: list[Element]) -> None:
     """Forms are set aside and weak elements stay weak, but for those that hold most words of
     the page: these are plain containers."""
     words: dict[int, int] = {}
-
-    def count(element: Element) -> int:
-        n = 0
-        for child in element.children:
-            if isinstance(child, str):
-                n += len(child.split())
-            elif not child.aside:
-                n += count(child)
-        words[id(element)] = n
-        return n
-
-    total = count(root)
+    for element in reversed(_downward(root)):
+        words[id(element)] = sum(len(c.split()) if isinstance(c, str) else 0 if c.aside else words[id(c)] for c in element.children)
+    total = words[id(root)]
     for element in open_:
         small = 2 * words.get(id(element), 0) <= total
         element.weak = element.weak and small
@@ -145,17 +161,23 @@ def _end_of(tag: str) -> re.Pattern:
 
 
 @lru_cache(maxsize=20_000)
-def _read_attributes(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label of an element, whether its attributes set it aside and whether a word of its names might."""
-    found = {m[0].lower(): (m[1] or m[2] or m[3] or "").lower() for m in _ATTR.findall(attributes)} if attributes else {}
+def _read_attributes(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Label of an element, whether its attributes set it aside, whether a word of its names
+    might, and whether it is an element of text with a class word. Of repeated attributes the
+    first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attributes):
+        found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     names = _NAME_WORDS.findall(found.get("class", "") + " " + found.get("id", ""))
     role = found.get("role", "")
     aside = tag in ASIDE_TAGS or role in _ROLES and (tag, role) != ("form", "form") or "hidden" in found and found["hidden"] != "until-found" or found.get("aria-hidden") == "true"
-    weak = False
+    weak = named = False
     if tag not in ("html", "body", "main", "article") and not aside:
-        aside = any(w in _ASIDE_WORDS for w in found.get("class", "").split())
+        word = any(w in _ASIDE_WORDS for w in found.get("class", "").split())
+        named = word and tag in _TEXT_TAGS
+        aside = word and not named
         weak = not aside and tag not in _SLUGS and any(w in _ASIDE_WORDS for w in names)
-    return ".".join([tag, *sorted(set(names))]), aside, weak
+    return ".".join([tag, *sorted(set(names))]), aside, weak, named
 
 
 def _open(stack: list[Element], tag: str, attributes: str) -> None:
@@ -175,10 +197,11 @@ def _open(stack: list[Element], tag: str, attributes: str) -> None:
                 del stack[k:]
                 if tag != "tr":
                     break
-    label, aside, weak = _read_attributes(tag, attributes if _MAYBE.search(attributes) else "")
-    if tag == "header" and not any(e.tag in _MAIN_TAGS for e in stack):
-        aside = True
-    element = Element(tag, label, aside, weak and not any(e.tag in _MAIN_TAGS for e in stack))
+    label, aside, weak, named = _read_attributes(tag, attributes if _MAYBE.search(attributes) else "")
+    if weak or tag == "header":
+        inside = any(e.tag in _MAIN_TAGS for e in stack)
+        aside, weak = aside or tag == "header" and not inside, weak and not inside
+    element = Element(tag, label, aside, weak, named)
     stack[-1].children.append(element)
     stack.append(element)
 
@@ -199,28 +222,42 @@ def _close(stack: list[Element], tag: str) -> None:
 _REPEAT = {("1", False): "1", ("1", True): "+", ("?", False): "?", ("?", True): "*", ("+", False): "+", ("+", True): "+", ("*", False): "*", ("*", True): "*"}
 
 
+def _run(steps):
+    """Run a generator that yields the generators it needs results of; no recursion."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 def wrapper_of(element: Element) -> list:
     """The wrapper of one page: its tree with repeats folded."""
-    parts = []
-    for child in element.children:
-        if isinstance(child, str):
-            text = " ".join(child.split())
-            if text:
-                n = len(text.split())
-                if parts and parts[-1][1] == "#text":
-                    parts[-1][2][0] += " " + text
-                    parts[-1][2][1] += n
-                else:
-                    parts.append(["1", "#text", [text, n, 1]])
-        elif child.tag in ("script", "style"):
-            continue
-        else:
-            parts.append(wrapper_of(child))
-    for part in parts:
-        if part[1] == "#text":
-            part[2][0] = part[2][0] if len(part[2][0]) <= 80 else None  # longer text is never a template's
-    name = ("!" if element.aside or element.weak else "") + element.label
-    return ["1", name, fold(parts)]
+    made: dict[int, list] = {}
+    for e in reversed(_downward(element)):
+        parts = []
+        for child in e.children:
+            if not isinstance(child, str):
+                if child.tag not in ("script", "style"):
+                    parts.append(made.pop(id(child)))
+                continue
+            words = child.split()
+            if words and parts and parts[-1][1] == "#text":
+                parts[-1][2][0].extend(words)
+            elif words:
+                parts.append(["1", "#text", [words, 0, 1]])
+        for part in parts:
+            if part[1] == "#text":
+                words = part[2][0]
+                text = " ".join(words[:81])  # longer text is never a template's
+                part[2][:2] = [text if len(text) <= 80 else None, len(words)]
+        name = ("!" if e.aside or e.weak or e.named else "") + e.label
+        made[id(e)] = ["1", name, fold(parts)]
+    return made[id(element)]
 
 
 def _alike(a: list, b: list) -> bool:
@@ -229,7 +266,24 @@ def _alike(a: list, b: list) -> bool:
 
 def fold(parts: list) -> list:
     """Fold neighbouring repeats of a group of up to four parts into one repeated part."""
+    return _run(_fold(parts))
+
+
+def merge(a: list, b: list) -> list:
+    """The wrapper of two parts of one name."""
+    return _run(_merge(a, b))
+
+
+def align(a: list, b: list) -> list:
+    """Merge two part sequences: the longest common sequence of names is merged, the rest
+    becomes optional; neighbours that are now alike are folded."""
+    return _run(_align(a, b))
+
+
+def _fold(parts: list):
     for width in (1, 2, 3, 4):
+        if len(parts) < 2 * width:
+            break
         out: list = []
         k = 0
         while k < len(parts):
@@ -243,7 +297,10 @@ def fold(parts: list) -> list:
                 continue
             merged = group
             for t in range(1, times):
-                merged = [merge(x, y) for x, y in zip(merged, parts[k + t * width:k + (t + 1) * width])]
+                row = []
+                for x, y in zip(merged, parts[k + t * width:k + (t + 1) * width]):
+                    row.append((yield _merge(x, y)))
+                merged = row
             if width == 1:
                 merged[0][0] = _REPEAT[merged[0][0], True]
                 out.append(merged[0])
@@ -259,88 +316,165 @@ def _both(a: str, b: str) -> str:
     return _REPEAT["?" if optional else "1", a in "+*" or b in "+*"]
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of two parts of one name."""
+def _merge(a: list, b: list):
     count = _both(a[0], b[0])
     if a[1] == "#text":
         return [count, "#text", [a[2][0] if a[2][0] == b[2][0] else None, a[2][1] + b[2][1], a[2][2] + b[2][2]]]
-    return [count, a[1], align(a[2], b[2])]
+    return [count, a[1], (yield _align(a[2], b[2]))]
 
 
-def align(a: list, b: list) -> list:
-    """Merge two part sequences: the longest common sequence of names is merged, the rest
-    becomes optional; neighbours that are now alike are folded."""
-    head = 0
-    out = []
-    while head < len(a) and head < len(b) and _alike(a[head], b[head]):
-        out.append(merge(a[head], b[head]))
+def _align(a: list, b: list):
+    head, most = 0, min(len(a), len(b))
+    while head < most and _alike(a[head], b[head]):
         head += 1
-    a, b = a[head:], b[head:]
-    tail = []
-    while a and b and _alike(a[-1], b[-1]):
-        tail.append(merge(a[-1], b[-1]))
-        a, b = a[:-1], b[:-1]
-    if a or b:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a) - 1, -1, -1):
-            for j in range(len(b) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if _alike(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and _alike(a[i], b[j]):
-                out.append(merge(a[i], b[j]))
-                i, j = i + 1, j + 1
-            elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-                out.append([_both("?", a[i][0]), *a[i][1:]])
-                i += 1
-            else:
-                out.append([_both("?", b[j][0]), *b[j][1:]])
-                j += 1
-    return fold(out + tail[::-1])
+    tail = 0
+    while tail < most - head and _alike(a[-1 - tail], b[-1 - tail]):
+        tail += 1
+    out = []
+    for x, y in zip(a[:head], b[:head]):
+        out.append((yield _merge(x, y)))
+    i, j = head, head
+    for p, q in _common(a[head:len(a) - tail], b[head:len(b) - tail]):
+        p, q = p + head, q + head
+        out += [[_both("?", x[0]), *x[1:]] for x in (*a[i:p], *b[j:q])]
+        out.append((yield _merge(a[p], b[q])))
+        i, j = p + 1, q + 1
+    out += [[_both("?", x[0]), *x[1:]] for x in (*a[i:len(a) - tail], *b[j:len(b) - tail])]
+    for x, y in zip(a[len(a) - tail:], b[len(b) - tail:]):
+        out.append((yield _merge(x, y)))
+    return (yield _fold(out))
+
+
+def _key(part: list) -> tuple:
+    return (part[1], *(p[1] for p in part[2])) if part[1] == "#group" else (part[1],)
+
+
+def _common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common sequence of names: the longest rising run through the
+    places at which they are equal, so its cost grows with these and not with all pairs."""
+    places = defaultdict(list)
+    for j in range(len(b) - 1, -1, -1):
+        places[_key(b[j])].append(j)
+    ends: list[int] = []  # smallest end of a common sequence of each length
+    links: list[tuple | None] = []
+    for i, part in enumerate(a):
+        for j in places.get(_key(part), ()):
+            k = bisect_left(ends, j)
+            link = (i, j, links[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                links.append(link)
+            elif j < ends[k]:
+                ends[k], links[k] = j, link
+    out, link = [], links[-1] if links else None
+    while link:
+        out.append((link[0], link[1]))
+        link = link[2]
+    return out[::-1]
+
+
+def flat(wrapper: list) -> list:
+    """A wrapper as one list: counts, names and sizes (of text: the slot), outside first."""
+    out, todo = [], [wrapper]
+    while todo:
+        part = todo.pop()
+        out += [part[0], part[1], part[2] if part[1] == "#text" else len(part[2])]
+        if part[1] != "#text":
+            todo.extend(reversed(part[2]))
+    return out
+
+
+def unflat(items: list) -> list:
+    """The wrapper again."""
+    top: list = []
+    open_: list[tuple[list, int]] = [(top, 1)]
+    for k in range(0, len(items), 3):
+        count, name, size = items[k:k + 3]
+        part = [count, name, size if name == "#text" else []]
+        while len(open_[-1][0]) == open_[-1][1]:
+            open_.pop()
+        open_[-1][0].append(part)
+        if name != "#text" and size:
+            open_.append((part[2], size))
+    return top[0]
 
 
 def article_path(wrapper: list) -> list[str]:
     """Names from the root to the element that holds the article."""
-    total = _words(wrapper)
-    marked = _marked(wrapper, [])
-    if marked and marked[0] >= 0.3 * total:
-        return marked[1]
-    path, node = [wrapper[1]], wrapper
+    parts = [(wrapper, -1)]  # every part before those inside it, with its owner
+    at = 0
+    while at < len(parts):
+        part = parts[at][0]
+        if part[1] != "#text" and part[1][0] != "!":
+            parts.extend((p, at) for p in part[2])
+        at += 1
+    words = [0] * len(parts)
+    for k in range(len(parts) - 1, -1, -1):
+        part, owner = parts[k]
+        if part[1] == "#text" and (part[2][0] is None or part[2][2] == 1):
+            words[k] += part[2][1]
+        if owner >= 0:
+            words[owner] += words[k]
+    total = words[0]
+    marked = _marked(parts, words)
+    if marked is not None and words[marked] >= 0.3 * total:
+        return _path_to(parts, marked)
+    inner = defaultdict(list)  # elements inside an element, groups looked through
+    holder = [-1] * len(parts)
+    for k, (part, owner) in enumerate(parts):
+        holder[k] = owner if owner < 0 or parts[owner][0][1] != "#group" else holder[owner]
+        if part[1] not in ("#text", "#group") and part[1][0] != "!" and k:
+            inner[holder[k]].append(k)
+    here = 0
     while True:
-        inner = [p for p in _elements(node[2]) if p[1][0] != "!"]
-        best = max(inner, key=_words, default=None)
-        if best is None or best[1].split(".")[0] not in BLOCK or best[0] in "+*" or _words(best) < _SHARE * max(total, 1):
-            return path
-        path.append(best[1])
-        node = best
-
-
-def _elements(parts: list):
-    for part in parts:
-        if part[1] == "#group":
-            yield from _elements(part[2])
-        elif part[1] != "#text":
-            yield part
+        best = max(inner[here], key=words.__getitem__, default=None)
+        if best is None:
+            break
+        part = parts[best][0]
+        if part[1].split(".")[0] not in BLOCK or part[0] in "+*" or words[best] < _SHARE * max(total, 1):
+            break
+        here = best
+    return _path_to(parts, here)
 
 
-def _words(part: list) -> int:
-    if part[1][0] == "!":
-        return 0
-    if part[1] == "#text":
-        return part[2][1] if part[2][0] is None or part[2][2] == 1 else 0
-    return sum(map(_words, part[2]))
+def _path_to(parts: list, k: int) -> list[str]:
+    path = []
+    while k >= 0:
+        if parts[k][0][1] != "#group":
+            path.append(parts[k][0][1])
+        k = parts[k][1]
+    return path[::-1]
 
 
-def _marked(part: list, path: list[str]) -> tuple[int, list[str]] | None:
+def _marked(parts: list, words: list[int]) -> int | None:
     """The article or main element with most words, the innermost of nested ones."""
-    if part[1][0] == "!" or part[1] == "#text":
-        return None
-    path = path if part[1] == "#group" else [*path, part[1]]
-    found = [m for m in (_marked(p, path) for p in part[2]) if m]
-    best = max(found, key=lambda m: m[0], default=None)
-    if part[1].split(".")[0] in _MAIN_TAGS and (best is None or best[0] < 0.9 * _words(part)):
-        return _words(part), path
-    return best
+    best: list[int | None] = [None] * len(parts)
+    for k in range(len(parts) - 1, -1, -1):
+        part, owner = parts[k]
+        if part[1] == "#text" or part[1][0] == "!":
+            continue
+        if part[1].split(".")[0] in _MAIN_TAGS and (best[k] is None or words[best[k]] < 0.9 * words[k]):
+            best[k] = k
+        # going backwards, an earlier part wins a tie
+        if owner >= 0 and best[k] is not None and (best[owner] is None or words[best[k]] >= words[best[owner]]):
+            best[owner] = best[k]
+    return best[0]
+
+
+def constant_labels(wrapper: list) -> list[str]:
+    """Labels of set-aside elements of text whose slots are all constant over several pages."""
+    found: dict[str, bool] = {}
+    todo = [(wrapper, None)]
+    while todo:
+        part, within = todo.pop()
+        if part[1] == "#text":
+            if within is not None:
+                found[within] = found.get(within, True) and part[2][0] is not None and part[2][2] > 1
+            continue
+        if within is None and part[1][0] == "!" and part[1][1:].split(".")[0] in _TEXT_TAGS:
+            within = part[1][1:]
+        todo.extend((p, within) for p in part[2])
+    return sorted(k for k, v in found.items() if v)
 
 
 # --- reading pages ------------------------------------------------------------------------
@@ -352,9 +486,10 @@ def _at_path(element: Element, path: list[str]) -> list[Element]:
     return here
 
 
-def blocks_of(element: Element) -> list[str]:
+def blocks_of(element: Element, constant: frozenset = frozenset()) -> list[str]:
     """Texts of the blocks below an element in page order; what stands aside is left out,
-    by a word of its names only where the whole page is read."""
+    by a word of its names only where the whole page is read, an element of text with a class
+    word where its label is in ``constant``."""
     whole = element.tag in _WHOLE
     out: list[str] = []
     run: list[str] = []
@@ -377,7 +512,7 @@ def blocks_of(element: Element) -> list[str]:
             run.append(child)
         elif child.tag == "br":
             run.append(" ")
-        elif not (child.aside or whole and child.weak):
+        elif not (child.aside or whole and child.weak or child.named and child.label in constant):
             block = child.tag in BLOCK
             if block:
                 end()
@@ -389,13 +524,13 @@ def blocks_of(element: Element) -> list[str]:
     return out
 
 
-def main_text(source: str, path: list[str] | None) -> str:
+def main_text(source: str, path: list[str] | None, constant: frozenset = frozenset()) -> str:
     page = parse(source)
     if path:
-        found = [b for e in _at_path(page, path) for b in blocks_of(e)]
+        found = [b for e in _at_path(page, path) for b in blocks_of(e, constant)]
         if found:
             return "\n\n".join(found)
-    return "\n\n".join(b for e in _at_path(page, article_path(wrapper_of(page))) for b in blocks_of(e))
+    return "\n\n".join(b for e in _at_path(page, article_path(wrapper_of(page))) for b in blocks_of(e, constant))
 
 
 def _host(url: str):
@@ -403,7 +538,7 @@ def _host(url: str):
 
 
 def infer_wrappers(df: DataFrame, url: str = "url", source: str = "html", fan_in: int = FAN_IN) -> DataFrame:
-    """``host, wrapper, path``: one wrapper per host from all its pages (JSON)."""
+    """``host, wrapper, path, constant``: one wrapper per host from all its pages (JSON)."""
 
     def collect(batches):
         from pyspark import TaskContext
@@ -421,14 +556,14 @@ def infer_wrappers(df: DataFrame, url: str = "url", source: str = "html", fan_in
             yield _table(held, part)
 
     def _table(held, part):
-        return pd.DataFrame({"host": list(held), "part": part, "wrapper": [json.dumps(w) for w in held.values()]})
+        return pd.DataFrame({"host": list(held), "part": part, "wrapper": [json.dumps(flat(w)) for w in held.values()]})
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for text in sorted(pdf["wrapper"]):
-            one = json.loads(text)
+            one = unflat(json.loads(text))
             whole = one if whole is None else merge(whole, one)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(pdf["part"].iloc[0])], "wrapper": [json.dumps(whole)]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(pdf["part"].iloc[0])], "wrapper": [json.dumps(flat(whole))]})
 
     schema = "host string, part long, wrapper string"
     level = written(df.select(_host(url).alias("host"), null_empty(source).alias("html")).mapInPandas(collect, schema))
@@ -442,9 +577,10 @@ def infer_wrappers(df: DataFrame, url: str = "url", source: str = "html", fan_in
 
     def paths(batches):
         for pdf in batches:
-            yield pdf[["host", "wrapper"]].assign(path=[json.dumps(article_path(json.loads(w))) for w in pdf["wrapper"]])
+            found = [unflat(json.loads(w)) for w in pdf["wrapper"]]
+            yield pdf[["host", "wrapper"]].assign(path=[json.dumps(article_path(w)) for w in found], constant=[json.dumps(constant_labels(w)) for w in found])
 
-    return level.select("host", "wrapper").mapInPandas(paths, "host string, wrapper string, path string")
+    return level.select("host", "wrapper").mapInPandas(paths, "host string, wrapper string, path string, constant string")
 
 
 def extract(df: DataFrame, row_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -454,14 +590,15 @@ def extract(df: DataFrame, row_id: str = "page_id", url: str = "url", source: st
     one wrapper. Repeated rows and null ids are returned as they come; further columns are
     ignored; an empty table gives no rows.
     """
-    wrappers = written(infer_wrappers(df, url, source).select("host", "path"))
+    wrappers = written(infer_wrappers(df, url, source).select("host", "path", "constant"))
     rows = df.select(F.col(row_id).cast("long").alias("page_id"), F.col(url).alias("url"), null_empty(source).alias("html"), _host(url).alias("host"))
 
     def read_pages(batches):
         for pdf in batches:
-            text = [main_text(h, json.loads(p) if p else None) for h, p in zip(pdf["html"], pdf["path"])]
+            hosts = {p: (json.loads(p), frozenset(json.loads(c))) for p, c in set(zip(pdf["path"], pdf["constant"])) if p}
+            text = [main_text(h, *hosts.get(p, (None,))) for h, p in zip(pdf["html"], pdf["path"])]
             out = pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": text})
             yield out.assign(n_chars=[len(t) for t in text])
 
-    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "path")
+    joined = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "path", "constant")
     return joined.mapInPandas(read_pages, "page_id long, url string, text string, n_chars long")

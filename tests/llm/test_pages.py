@@ -45,6 +45,13 @@ def test_parser_repairs_markup():
 
 
 @pytest.mark.parametrize("source,text", [
+    ('<article><div style="overflow:hidden"><p>whole body</p></div></article>', "whole body"),
+    ('<article>see <a href="/hidden-gems">these gems</a> now</article>', "see these gems now"),
+    ('<article><p data-hidden="false">x y</p><p hidden>z</p><p hidden=until-found>u</p></article>', "x y\n\nu"),
+    ("<a href=/x title=O'Brien>Link</a> body it's here", "Link body it's here"), ('<a href="x>Link</a> body <p>more', "Link body\n\nmore"),
+    ('<article><p class="share">Share of votes</p><div class="share">Post it</div></article>', "Share of votes"),
+    ('<div id="sidebar" width="600" data-id="content"><p>side</p></div><p>one two three</p>', "one two three"),
+    ('<p class="x" class="ad">text</p>', "text"),
     ("", ""), ("no markup  here", "no markup here"), ("<article>", ""), ("<p", "<p"), ("<!-- only", ""), ("<nav>menu</nav>", ""),
     ("<div><header><h1>Site</h1></header><article><header><h2>Title</h2></header>Body</article></div>", "Title\n\nBody"),
 ])
@@ -134,3 +141,111 @@ def test_a_form_around_the_page_is_a_container():
     assert wrappers.main_text(page, None).startswith("word word") and "End" in wrappers.main_text(page, None)
     small = "<html><body><article><p>" + "word " * 30 + "</p><form><p>Your name</p></form></article></body></html>"
     assert "name" not in wrappers.main_text(small, None)
+
+
+def test_class_words_on_text_are_judged_by_the_host(spark):
+    """What is the same on all pages of a host is its template; what differs is the article's."""
+    body = lambda k: f'<article><p class="share">Share this page</p><p class="notice">Notice {k} of the town</p><p>Text {k} of the page with some words.</p></article>'
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", body(k)) for k in range(6)], "page_id long, url string, html string")
+    for r in rows(wrappers.extract(df.repartition(3))):
+        assert r["text"] == f"Notice {r['page_id']} of the town\n\nText {r['page_id']} of the page with some words."
+
+
+@pytest.mark.parametrize("source", ["<div>" * 50_000 + "deep", "<b>" * 50_000 + "deep", "<form>" * 20_000 + "deep", "<ul><li>" * 20_000 + "deep"])
+def test_any_depth(source):
+    one, two = wrapper_of(parse(source)), wrapper_of(parse(source + "er"))
+    whole = merge(one, two)
+    items = wrappers.flat(whole)
+    assert wrappers.flat(wrappers.unflat(items)) == items and wrappers.constant_labels(whole) == []
+    assert main_text(source, article_path(whole)) == main_text(source, None) == "deep"
+
+
+@pytest.mark.parametrize("source", ['<a "' * 250_000, '<a x="1" ' * 100_000 + 'y=">"', "<a x='" * 150_000, "<" * 500_000, "<!-" * 300_000, "<a =" * 200_000 + ">"])
+def test_broken_tags_take_linear_time(source):
+    import time
+
+    start = time.time()
+    main_text(source, None)
+    assert time.time() - start < 5
+
+
+def brute_align(a, b):
+    """Length of a longest common sequence, cell by cell."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def matches(part, labels):
+    """Does a flat expression (no groups) match a sequence of labels? A set of states."""
+    at = {0}
+    for count, name, _ in part:
+        step = lambda s: {k + 1 for k in s if k < len(labels) and labels[k] == name}
+        one = step(at)
+        if count in "+*":
+            more = one
+            while more:
+                more = step(more) - one
+                one |= more
+        at = one | (at if count in "?*" else set())
+    return len(labels) in at
+
+
+def test_wrappers_match_the_pages_they_came_from():
+    """Random sequences: the common sequence is longest, and the expression matches both."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice(["p", "h2", "ul", "hr", "em"]) for _ in range(rng.randrange(9))] for _ in range(2))
+        part = lambda names_: [["1", n, []] for n in names_]
+        pairs = wrappers._common(part(a), part(b))
+        assert len(pairs) == brute_align(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+        whole = align(part(a), part(b))
+        if all(p[1] != "#group" for p in whole):
+            assert matches(whole, a) and matches(whole, b)
+
+
+def plain_path(sources):
+    """The article's path by plain means: of all label paths whose texts differ between the pages
+    the deepest block, or article, that holds most of these words."""
+    pages = [parse(s) for s in sources]
+    seen = {}
+
+    def walk(e, path, page, out):
+        for c in e.children:
+            if isinstance(c, str):
+                for word in c.split():
+                    out.setdefault(path, []).append(word)
+            elif not (c.aside or c.weak or c.named):
+                walk(c, (*path, c.label), page, out)
+
+    for k, page in enumerate(pages):
+        out = {}
+        walk(page, ("#root",), k, out)
+        for path, words in out.items():
+            seen.setdefault(path, []).append(tuple(words))
+    varying = {p: sum(map(len, w)) for p, w in seen.items() if len(set(w)) > 1}
+    total = sum(varying.values())
+    holds = {}
+    for p, n in varying.items():
+        for k in range(1, len(p) + 1):
+            holds[p[:k]] = holds.get(p[:k], 0) + n
+    marked = [p for p in holds if p[-1].split(".")[0] == "article" and holds[p] >= 0.3 * total]
+    return list(max(marked, key=holds.get)) if marked else None
+
+
+def test_paths_agree_with_plain_inference(spark):
+    from collections import defaultdict
+
+    hosts = defaultdict(list)
+    for r in rows(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")):
+        hosts[re.match(r"\w+://([^/?#:]*)", r["url"])[1].lower()].append(r["html"])
+    import json
+
+    got = {r["host"]: json.loads(r["path"]) for r in rows(wrappers.infer_wrappers(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")))}
+    several = {h: s for h, s in hosts.items() if len(s) > 1}
+    assert several and all(got[h] == plain_path(s) for h, s in several.items())
