@@ -19,6 +19,7 @@ from drivegrid.plans import (  # noqa: F401
     source_queries,
     spatial_queries,
     stream_queries,
+    topology_queries,
     trajectory_queries,
 )
 from drivegrid.plans.registry import CHECKS, QUERIES, query

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from drivegrid.functions.num import quantize, quantize_sql as Q
 from drivegrid.lib.ordered import measured
+from drivegrid.operators import corridor as co
 from drivegrid.operators import polylines as pl
 from drivegrid.operators import trajectory as tr
 from drivegrid.plans.registry import query
@@ -259,3 +260,31 @@ SELECT edge_id, {Q('sum(x * ny - nx * y) / 2')} AS area FROM n GROUP BY edge_id"
 )
 def _(spark, d):
     return pl.polygon_area(lines(spark, d)).select("edge_id", q("area"))
+
+
+OUTLINE = ", ".join(f"({a:.17e}, {b:.17e})" for a, b in co.outline(0.8, 0.9, 0.3))
+SWEPT = ARC2 + f""",
+sa AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy, max(i) OVER e AS last, max(d) OVER e AS step, max(s) OVER e AS total FROM arc {W}, e AS (PARTITION BY run_id, edge_id)),
+sb AS (SELECT *, dx / sqrt(dx * dx + dy * dy) AS tx, dy / sqrt(dx * dx + dy * dy) AS ty, greatest(1e-1, 5e-1 * step + 1e-1) AS cap FROM sa),
+pa AS (SELECT run_id, edge_id, k, total, total * k / n AS t FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM (SELECT run_id, edge_id, total, CAST(greatest(1, ceil(total / 1e-1)) AS BIGINT) AS n FROM tot))),
+pb AS (SELECT run_id, edge_id, k, t, o.v AS o, least(greatest(t + o.v * 25e-2, 0), total) AS at FROM pa, range(-1, 2) o(v)),
+pc AS (SELECT p.run_id, p.edge_id, p.k, p.t, p.o, g.x + (g.x1 - g.x) * (p.at - g.s) / (g.s1 - g.s) AS x, g.y + (g.y1 - g.y) * (p.at - g.s) / (g.s1 - g.s) AS y FROM pb p JOIN sg g ON g.run_id = p.run_id AND g.edge_id = p.edge_id AND ((p.at > g.s AND p.at <= g.s1) OR (g.i = 0 AND p.at <= 0)) AND g.s1 IS NOT NULL),
+pd AS (SELECT run_id, edge_id, k, t, max(x) FILTER (o = 0) AS px, max(y) FILTER (o = 0) AS py, max(x) FILTER (o = 1) - max(x) FILTER (o = -1) AS ux, max(y) FILTER (o = 1) - max(y) FILTER (o = -1) AS uy FROM pc GROUP BY 1, 2, 3, 4),
+bo(a, b) AS (VALUES {OUTLINE}),
+pp AS (SELECT run_id, edge_id, t, px + ux / sqrt(ux * ux + uy * uy) * a - uy / sqrt(ux * ux + uy * uy) * b AS x, py + uy / sqrt(ux * ux + uy * uy) * a + ux / sqrt(ux * ux + uy * uy) * b AS y FROM pd, bo),
+ob AS (SELECT s.run_id, s.edge_id, s.i, s.last, s.cap, (p.x - s.x) * s.tx + (p.y - s.y) * s.ty AS along, (p.y - s.y) * s.tx - (p.x - s.x) * s.ty AS lft FROM sb s JOIN pp p ON p.run_id = s.run_id AND p.edge_id = s.edge_id AND s.s - p.t >= -(3e-1 + s.cap) AND s.s - p.t <= 9e-1 + s.cap),
+su AS (SELECT run_id, edge_id, i, max(lft) AS l, max(-lft) AS r FROM ob WHERE abs(along) <= cap OR (i = 0 AND along <= 0 AND along >= -35e-2) OR (i = last AND along >= 0 AND along <= 95e-2) GROUP BY 1, 2, 3),
+sw AS (SELECT sb.*, greatest(4e-1, coalesce(l, 0)) AS l, greatest(4e-1, coalesce(r, 0)) AS r FROM sb LEFT JOIN su USING (run_id, edge_id, i)),
+sx AS (SELECT *, greatest(l, coalesce(lag(l) OVER w, 0), coalesce(lead(l) OVER w, 0)) + 1e-1 + 5e-2 AS lo, greatest(r, coalesce(lag(r) OVER w, 0), coalesce(lead(r) OVER w, 0)) + 1e-1 + 5e-2 AS ro, CASE WHEN i = 0 THEN -35e-2 WHEN i = last THEN 95e-2 ELSE 0 END AS c FROM sw {W})"""
+
+
+def swept(spark, d):
+    return co.swept_corridor(lines(spark, d), 0.8, 0.9, 0.3, 0.1)
+
+
+@query(
+    "a20_swept_corridor",
+    SWEPT + f""" SELECT run_id, edge_id, i, {Q('lo')} AS left_offset, {Q('ro')} AS right_offset, {Q('x - ty * lo + tx * c')} AS left_x, {Q('y + tx * lo + ty * c')} AS left_y, {Q('x + ty * ro + tx * c')} AS right_x, {Q('y - tx * ro + ty * c')} AS right_y FROM sx""",
+)
+def _(spark, d):
+    return swept(spark, d).select("run_id", "edge_id", "i", q("left_offset"), q("right_offset"), q("left_x"), q("left_y"), q("right_x"), q("right_y"))
