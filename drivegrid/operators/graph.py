@@ -98,27 +98,28 @@ def revisit_places(pairs: DataFrame) -> DataFrame:
 
 def bounded_paths(edges: DataFrame, queries: DataFrame) -> DataFrame:
     """Simple directed paths from ``from_node`` to ``to_node`` no longer than ``max_length``:
-    ``run_id, query_id, paths, shortest, hops, ambiguous`` (another path ties within 1e-7).
+    ``run_id, query_id, paths, shortest, hops, via, ambiguous`` (another path ties within 1e-7;
+    ``via``: the edges of the shortest one).
 
     A level-by-level frontier join; a partial path is dropped as soon as it is too long or
     meets a node twice, so the loop ends when every path has arrived or is too long.
     """
     e = edges.select("run_id", F.col("edge_id").alias("e"), F.col("from_id").alias("node"), F.col("to_id").alias("nxt"), F.greatest("length", F.lit(1.0e-6)).alias("w"))
-    start = queries.select("run_id", "query_id", F.col("from_node").alias("node"), "to_node", "max_length", F.lit(0.0).alias("len"), F.array("from_node").alias("seen"))
-    trivial = start.filter("node = to_node").select("run_id", "query_id", F.lit(0.0).alias("len"), F.lit(0).alias("hops"))
+    start = queries.select("run_id", "query_id", F.col("from_node").alias("node"), "to_node", "max_length", F.lit(0.0).alias("len"), F.array("from_node").alias("seen"), F.array().cast("array<bigint>").alias("via"))
+    trivial = start.filter("node = to_node").select("run_id", "query_id", F.lit(0.0).alias("len"), F.lit(0).alias("hops"), "via")
     front, found = start.filter("node <> to_node"), [cut_lineage(trivial)]
     for hop in itertools.count(1):
         step = front.join(e, ["run_id", "node"]).withColumn("len", F.col("len") + F.col("w"))
         step = step.filter((F.col("len") <= F.col("max_length") + 1.0e-9) & ~F.array_contains("seen", F.col("nxt")))
-        step = cut_lineage(step.select("run_id", "query_id", F.col("nxt").alias("node"), "to_node", "max_length", "len", F.array_append("seen", F.col("nxt")).alias("seen")))
-        found.append(step.filter("node = to_node").select("run_id", "query_id", "len", F.lit(hop).alias("hops")))
+        step = cut_lineage(step.select("run_id", "query_id", F.col("nxt").alias("node"), "to_node", "max_length", "len", F.array_append("seen", F.col("nxt")).alias("seen"), F.array_append("via", F.col("e")).alias("via")))
+        found.append(step.filter("node = to_node").select("run_id", "query_id", "len", F.lit(hop).alias("hops"), "via"))
         front = step.filter("node <> to_node")
         if front.isEmpty():
             break
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    low = every.groupBy("run_id", "query_id").agg(F.min("len").alias("shortest"), F.count("*").alias("paths"), F.min_by("hops", F.struct("len", "hops")).alias("hops"))
+    low = every.groupBy("run_id", "query_id").agg(F.min("len").alias("shortest"), F.count("*").alias("paths"), F.min_by("hops", F.struct("len", "hops")).alias("hops"), F.min_by("via", F.struct("len", "hops", "via")).alias("via"))
     tie = every.join(low.select("run_id", "query_id", "shortest"), ["run_id", "query_id"]).groupBy("run_id", "query_id").agg((F.count_if(F.col("len") <= F.col("shortest") + 1.0e-7) > 1).alias("ambiguous"))
     return low.join(tie, ["run_id", "query_id"])
 

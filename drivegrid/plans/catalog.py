@@ -16,6 +16,7 @@ from drivegrid.plans import (  # noqa: F401
     polyline_queries,
     quality_queries,
     registration_queries,
+    release_queries,
     source_queries,
     spatial_queries,
     stream_queries,

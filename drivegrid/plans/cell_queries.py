@@ -298,7 +298,7 @@ ORIENTED = SUPPORT.replace("WITH ", with_views("poses_v") + LINE[len(with_views(
 @query(
     "j10_inflate_oriented",
     ORIENTED + f""",
-yb AS (SELECT run_id, cx, cy, CAST(floor((yaw - floor(yaw / (2 * pi())) * (2 * pi())) * 72 / (2 * pi()) + 5e-1) AS BIGINT) % 72 AS b FROM nearest WHERE cx < 150 AND cy < 20),
+yb AS (SELECT run_id, cx, cy, CAST(floor((yaw - floor(yaw / (2 * pi())) * (2 * pi())) * 72 / (2 * pi()) + 5e-1) AS BIGINT) % 72 AS b FROM nearest),
 tg AS (SELECT run_id, cx, cy, cos(b * pi() / 36) AS c, sin(b * pi() / 36) AS s FROM yb),
 st AS (SELECT t.*, cx + dx.v AS ax, cy + dy.v AS ay FROM tg t, range(-{_REACH}, {_REACH + 1}) dx(v), range(-{_REACH}, {_REACH + 1}) dy(v)
   WHERE (c * dx.v + s * dy.v) * 5e-1 BETWEEN -({0.6 + _M!r}) AND {1.1 + _M!r} AND abs(c * dy.v - s * dx.v) * 5e-1 <= {0.5 + _M!r})
@@ -307,7 +307,7 @@ WHERE ax < 0 OR ay < 0 OR ax >= 150 OR ay >= 20 OR coalesce(obstacle, FALSE)""",
 )
 def _(spark, d):
     c = classes(spark, d)
-    near = nearest(spark, d)[2].filter("cx < 150 AND cy < 20").select("run_id", "cx", "cy", F.col("pose_yaw").alias("yaw"))
+    near = nearest(spark, d)[2].select("run_id", "cx", "cy", F.col("pose_yaw").alias("yaw"))
     grid = fixed_grid(view(spark, d, "points_v"))
     return ce.inflate_oriented(c.filter("obstacle"), near, grid, 0.5, 1.0, 0.5, 0.8, 0.1)
 

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from drivegrid.functions.num import quantize, quantize_sql as Q
-from drivegrid.plans.registry import query
+from drivegrid.plans.graph_queries import ops as edit_log
+from drivegrid.plans.registry import CHECKS, query
 from drivegrid.plans.tables import US, VIEWS, prepare, table, with_views
 from drivegrid.session import ensure_checkpoint_dir
 from drivegrid.streaming import jobs
@@ -38,6 +39,14 @@ def _(spark, d):
     return drain(spark, jobs.stream_dedupe(jobs.with_event_time(p), "40 days")).select("run_id", "stamp_ns")
 
 
+@query("st3_stream_last_pose", with_views("poses_v") + """, c AS (SELECT run_id, stamp_ns - stamp_ns % 7200000000000 AS stamp_ns, seq, y FROM poses_v)
+SELECT run_id, stamp_ns, max(seq) AS seq, arg_max(y, seq) AS y FROM c WHERE stamp_ns < (SELECT max(stamp_ns) FROM c) GROUP BY 1, 2""")
+def _(spark, d):
+    p = source(spark, d, "poses_v").withColumn("stamp_ns", F.expr("stamp_ns - stamp_ns % 7200000000000"))
+    # the newest stamp stays open until the watermark passes it
+    return drain(spark, jobs.stream_last_pose(jobs.with_event_time(p), delay="1 minute")).select("run_id", "stamp_ns", "seq", "y")
+
+
 @query("st6_stream_quality", with_views("poses_v") + """, h AS (SELECT run_id, stamp_ns // 86400000000000 AS day, y FROM poses_v), m AS (SELECT max(day) AS last FROM h)
 SELECT run_id, CAST(day AS BIGINT) AS day, count(*) AS decoded, count(*) FILTER (y < 12e-2) AS accepted FROM h, m WHERE day < last GROUP BY 1, 2""")
 def _(spark, d):
@@ -75,6 +84,21 @@ def _(spark, d):
     return out.groupBy("graph_id", "entity_id").agg(F.count("*").alias("ops"))
 
 
+@query("st5_stream_graph_edits", CHECKS["g11_replay_edits_edges"].replace(", FALSE AS manual", "").replace(", TRUE", ""))
+def _(spark, d):
+    """The log of the batch replay, folded by the stream: the same edges."""
+    nodes, edges, log = edit_log(spark, d)
+    null = F.lit(None).cast("long")
+    base = jobs.graph_ops(nodes, edges.withColumn("reverse_of", null))
+    log = log.withColumns({"child1_reverse_id": null, "child2_reverse_id": null, "cascade": F.lit(True)})
+    rows = base.unionByName(log.select(*base.columns))
+    root = scratch(spark)
+    rows.write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/log")
+    changes = jobs.run_available(jobs.stream_graph_edits(stream), f"{root}/out", f"{root}/cp")
+    return jobs.current_graph(changes)[1].select("run_id", "edge_id", "from_id", "to_id")
+
+
 @query("st1_stream_register", None)
 def _(spark, d):
     """Events as poses; every event asks, a minute later, for its pose."""

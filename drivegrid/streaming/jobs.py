@@ -20,6 +20,14 @@ def stream_dedupe(poses: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return poses.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "stamp_ns"])
 
 
+def stream_last_pose(poses: DataFrame, order: str = "seq", delay: str = "10 minutes") -> DataFrame:
+    """One pose per (run, stamp), the last in ``order``, as the batch operator keeps it. A stamp
+    is settled, and its pose comes out, when the watermark passes it."""
+    rest = [c for c in poses.columns if c not in ("run_id", "stamp_ns", "ts")]
+    g = poses.withWatermark("ts", delay).groupBy("run_id", "stamp_ns", "ts").agg(F.max_by(F.struct(*rest), order).alias("_p"))
+    return g.select("run_id", "stamp_ns", "ts", "_p.*")
+
+
 def stream_quality(rows: DataFrame, window: str = "1 minute", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Decoded, accepted and dropped rows per run and (tumbling or sliding) window. ``rows``:
     ts, run_id, accepted."""
@@ -145,6 +153,207 @@ def stream_edits(ops: DataFrame) -> DataFrame:
     return ops.groupBy("graph_id", "entity_id").applyInPandasWithState(fold, schema, state, "append", "NoTimeout")
 
 
+CHANGES = (
+    "run_id long, op long, nth long, kind string, id long, alive boolean, from_id long, to_id long, reverse_of long, x double, y double, z double, code string"
+)
+
+
+def _graph_fold():
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class GraphFold(StatefulProcessor):
+        """The graph of one run: nodes (place, edges at them), edges, and the last operation."""
+
+        def init(self, handle):
+            self.nodes = handle.getMapState("nodes", "node_id long", "x double, y double, z double, edges string")
+            self.edges = handle.getMapState("edges", "edge_id long", "from_id long, to_id long, reverse_of long")
+            self.last = handle.getValueState("last", "op long")
+
+        def close(self):
+            pass
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
+
+            run = int(key[0])
+            last = int(self.last.get()[0]) if self.last.exists() else None
+            given = pd.concat(list(rows), ignore_index=True).sort_values("op", kind="stable")
+            names = [c.split()[0] for c in CHANGES.split(", ")]
+            table = lambda: pd.DataFrame(self.out, columns=names).astype({c: "Int64" for c in ("from_id", "to_id", "reverse_of")})
+            self.out: list[tuple] = []
+            for o in given.astype(object).where(given.notna(), None).to_dict("records"):
+                self.run, self.op = run, int(o["op"])
+                code = "stale_operation" if last is not None and self.op <= last else self.fault(o)
+                if code is None:
+                    self.apply(o)
+                    last = self.op
+                else:
+                    self.say("operation", self.op, False, code=code)
+                if len(self.out) >= 10_000:
+                    yield table()
+                    self.out = []
+            if self.out:
+                yield table()
+            if last is not None:
+                self.last.update((last,))
+
+        def say(self, kind, id_, alive, ends=(None, None, None), place=(None, None, None), code=None):
+            self.out.append((self.run, self.op, len(self.out), kind, int(id_), alive, *ends, *place, code))
+
+        def edge(self, k):
+            return tuple(self.edges.getValue((int(k),))) if k is not None and self.edges.containsKey((int(k),)) else None
+
+        def node(self, k):
+            return tuple(self.nodes.getValue((int(k),))) if k is not None and self.nodes.containsKey((int(k),)) else None
+
+        def partner(self, k):
+            r = self.edge(k)[2]
+            back = self.edge(r) if r is not None else None
+            return int(r) if back is not None and back[2] == k else None
+
+        def fault(self, o):
+            kind = o["type"]
+            both = o["direction"] == "both"
+            if kind in ("move_node", "delete_node") and self.node(o["node_id"]) is None:
+                return "missing_entity"
+            if kind in ("delete_edge", "split_edge", "set_direction") and self.edge(o["edge_id"]) is None:
+                return "missing_entity"
+            if kind == "add_edge" and (self.node(o["from_id"]) is None or self.node(o["to_id"]) is None):
+                return "missing_entity"
+            if kind == "delete_node" and not o["cascade"] and self.node(o["node_id"])[3]:
+                return "incident_edges"
+            made = {"add_node": [], "add_edge": ["edge_id"] + ["reverse_id"] * both, "set_direction": ["reverse_id"] * both,
+                    "split_edge": ["child1_id", "child2_id", "child1_reverse_id", "child2_reverse_id"]}.get(kind, [])
+            ids = [int(o[c]) for c in made if o[c]]
+            fresh = {"add_node": "node_id", "split_edge": "new_node_id"}.get(kind)
+            if len(ids) != len(set(ids)) or any(self.edge(k) is not None for k in ids) or fresh and self.node(o[fresh]) is not None:
+                return "duplicate_id"
+            return None
+
+        def put_node(self, k, place):
+            k, old = int(k), self.node(k)
+            self.nodes.updateValue((k,), (*place, old[3] if old else ""))
+            self.say("node", k, True, place=place)
+
+        def link(self, node, edge, on):
+            x, y, z, held = self.node(node)
+            ids = set(filter(None, held.split(",")))
+            ids = ids | {str(edge)} if on else ids - {str(edge)}
+            self.nodes.updateValue((int(node),), (x, y, z, ",".join(sorted(ids))))
+
+        def put_edge(self, k, a, b, back):
+            k, a, b, back = int(k), int(a), int(b), int(back) if back else None
+            self.edges.updateValue((k,), (a, b, back))
+            self.link(a, k, True)
+            self.link(b, k, True)
+            self.say("edge", k, True, ends=(a, b, back))
+
+        def drop_edge(self, k):
+            a, b, _ = self.edge(k)
+            for n in {a, b}:
+                if self.node(n) is not None:
+                    self.link(n, k, False)
+            self.edges.removeKey((int(k),))
+            self.say("edge", k, False)
+
+        def apply(self, o):
+            kind, k, place = o["type"], o["edge_id"], (o["x"], o["y"], o["z"])
+            both = o["direction"] == "both"
+            if kind == "clear_graph":
+                for (e,) in list(self.edges.keys()):
+                    self.say("edge", e, False)
+                for (n,) in list(self.nodes.keys()):
+                    self.say("node", n, False)
+                self.edges.clear()
+                self.nodes.clear()
+            elif kind in ("add_node", "move_node"):
+                self.put_node(o["node_id"], place)
+            elif kind == "delete_node":
+                for e in list(filter(None, self.node(o["node_id"])[3].split(","))):
+                    self.drop_edge(int(e))
+                self.nodes.removeKey((int(o["node_id"]),))
+                self.say("node", o["node_id"], False)
+            elif kind == "add_edge":
+                self.put_edge(k, o["from_id"], o["to_id"], o["reverse_id"] if both else None)
+                if both:
+                    self.put_edge(o["reverse_id"], o["to_id"], o["from_id"], k)
+            elif kind == "delete_edge":
+                partner = self.partner(k)
+                self.drop_edge(k)
+                if partner is not None and o["include_reverse"]:
+                    self.drop_edge(partner)
+            elif kind == "split_edge":
+                partner, (a, b, _) = self.partner(k), self.edge(k)
+                r1, r2 = (o["child1_reverse_id"], o["child2_reverse_id"]) if partner is not None else (None, None)
+                self.drop_edge(k)
+                self.put_node(o["new_node_id"], place)
+                self.put_edge(o["child1_id"], a, o["new_node_id"], r1)
+                self.put_edge(o["child2_id"], o["new_node_id"], b, r2)
+                if partner is not None:
+                    self.drop_edge(partner)
+                    self.put_edge(r1, o["new_node_id"], a, o["child1_id"])
+                    self.put_edge(r2, b, o["new_node_id"], o["child2_id"])
+            elif kind == "set_direction":
+                partner, (a, b, _) = self.partner(k), self.edge(k)
+                self.edges.updateValue((int(k),), (a, b, int(o["reverse_id"]) if both else None))
+                self.say("edge", k, True, ends=(a, b, o["reverse_id"] if both else None))
+                if both:
+                    self.put_edge(o["reverse_id"], b, a, k)
+                elif partner is not None:
+                    self.drop_edge(partner)
+
+    return GraphFold()
+
+
+def stream_graph_edits(ops: DataFrame) -> DataFrame:
+    """The full edit log folded into each run's graph (columns of ``graph.replay_edits``): one
+    row per change of a node or edge, and one for each refused operation with its ``code``.
+
+    Nodes and edges are map state, so an operation reads and writes the entities it names and
+    those tied to them (a split its children and partner, a deleted node its edges). The log
+    of one graph is a sequence and is folded in order by one task; graphs are spread. Operations
+    of a graph that are not newer than the last one folded are refused."""
+    ops.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    cols = ["op", "type", "node_id", "edge_id", "from_id", "to_id", "child1_id", "child2_id", "new_node_id", "reverse_id", "child1_reverse_id",
+            "child2_reverse_id", "direction", "cascade", "include_reverse", "x", "y", "z"]
+    slim = ops.select("run_id", *cols)
+    return slim.groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=_graph_fold(), outputStructType=CHANGES, outputMode="append", timeMode="none"
+    )
+
+
+def graph_ops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A graph as the operations that build it, numbered below zero; pairs are added together."""
+    lit = F.lit
+    null, c = lit(None).cast("long"), F.col
+    blank = {k: null for k in ("node_id", "edge_id", "from_id", "to_id", "child1_id", "child2_id", "new_node_id", "reverse_id", "child1_reverse_id", "child2_reverse_id")}
+    common = {"direction": lit("one_way"), "cascade": lit(True), "include_reverse": lit(False)}
+    back = edges.select("run_id", c("edge_id").alias("reverse_of"), c("reverse_of").alias("_mine"))
+    one = edges.join(back, ["run_id", "reverse_of"], "left").withColumn("_pair", F.coalesce(c("_mine") == c("edge_id"), lit(False)))
+    one = one.filter(~c("_pair") | (c("edge_id") < c("reverse_of")))
+    n = nodes.select("run_id", *[c("node_id") if k == "node_id" else v.alias(k) for k, v in blank.items()], lit("add_node").alias("type"), "x", "y", "z", lit(0).alias("_o"), *[v.alias(k) for k, v in common.items()])
+    own = {"edge_id": c("edge_id"), "from_id": c("from_id"), "to_id": c("to_id"), "reverse_id": F.when(c("_pair"), c("reverse_of"))}
+    zero = lit(None).cast("double")
+    e = one.select("run_id", *[own.get(k, v).alias(k) for k, v in blank.items()], lit("add_edge").alias("type"), zero.alias("x"), zero.alias("y"), zero.alias("z"), lit(1).alias("_o"),
+                   F.when(c("_pair"), "both").otherwise("one_way").alias("direction"), common["cascade"].alias("cascade"), common["include_reverse"].alias("include_reverse"))
+    from drivegrid.lib.ordered import index_rows
+
+    every = index_rows(n.unionByName(e), ["run_id"], ["_o", "node_id", "edge_id"], index="_k")
+    size = every.groupBy("run_id").agg(F.count("*").alias("_n"))
+    return every.join(size, "run_id").withColumn("op", c("_k") - c("_n") - 1).drop("_k", "_n", "_o")
+
+
+def current_graph(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges after all changes."""
+    last = changes.filter("code IS NULL").groupBy("run_id", "kind", "id").agg(
+        F.max_by(F.struct("alive", "from_id", "to_id", "reverse_of", "x", "y", "z"), F.struct("op", "nth")).alias("s")
+    ).filter("s.alive").select("run_id", "kind", "id", "s.*")
+    nodes = last.filter("kind = 'node'").select("run_id", F.col("id").alias("node_id"), "x", "y", "z")
+    return nodes, last.filter("kind = 'edge'").select("run_id", F.col("id").alias("edge_id"), "from_id", "to_id", "reverse_of")
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is there into Parquet and read it back."""
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from drivegrid.operators import cells as ce
 from drivegrid.sources import binary as bi
-from drivegrid.sources import geo_json as gj
+from drivegrid.sources import completed_map as cm
+from drivegrid.sources import point_ranges as pr
 from drivegrid.sources import text_tables as tt
+from drivegrid.sources import versions as vs
 
 PTS = [(1.0, 2.0, 3.0, 0.5), (-1.5, 0.25, 8.0, 1.0)]
 
@@ -41,9 +43,8 @@ def test_strict_trajectory_and_publish(spark, tmp_path):
     poses, rejects = tt.parse_tum(lines)
     assert [(r.stamp_ns, r.qw) for r in poses.collect()] == [(1_500_000_000, 1.0)]
     assert rejects.count() == 1
-    gj.write_tables({"poses": poses}, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "poses")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "out" / "_published")).first().published
+    vs.publish({"poses": poses}, str(tmp_path / "out"))
+    assert vs.read_published(spark, str(tmp_path / "out"), "poses").count() == 1
 
 
 def test_lane_map_xml(spark, tmp_path):
@@ -81,3 +82,59 @@ def test_pcd_counts_and_names(spark, tmp_path):
     for r in bi.read_point_files(spark, str(tmp_path)).collect():
         got.setdefault(r.path[-5], []).append((r.x, r.y, r.z, r.observation_count))
     assert {k: sorted(v) for k, v in got.items()} == {k: [(1.0, 1.0, 1.0, 4), (2.0, 3.0, 4.0, 5)] for k in "bt"}
+
+
+def test_publishing_stops_between_tables(spark, tmp_path):
+    """Whatever goes wrong before the last step, readers go on seeing the whole old set."""
+    import pytest
+
+    root = str(tmp_path / "store")
+    rows = lambda k, runs: spark.createDataFrame([(r, k) for r in runs], "run_id long, x long")
+    seen = lambda name: sorted(tuple(r) for r in vs.read_published(spark, root, name).select("run_id", "x").collect())
+    with pytest.raises(FileNotFoundError):
+        vs.read_published(spark, root, "a")
+    assert vs.publish({"a": rows(1, [1, 2]), "b": rows(1, [1, 2])}, root) == 1
+    broken = rows(2, [2]).withColumn("x", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        vs.publish({"a": rows(2, [2]), "b": broken}, root)
+    assert vs.published_version(spark, root) == 1 and seen("a") == seen("b") == [(1, 1), (2, 1)]
+    same_runs = lambda t: t["a"].select("run_id").exceptAll(t["b"].select("run_id"))
+    with pytest.raises(ValueError, match="not published"):
+        vs.publish({"a": rows(3, [7])}, root, same_runs)
+    assert seen("a") == [(1, 1), (2, 1)]
+    assert vs.publish({"a": rows(4, [2, 3]), "b": rows(4, [3])}, root, same_runs) == 4
+    assert seen("a") == [(1, 1), (2, 4), (3, 4)] and seen("b") == [(1, 1), (2, 1), (3, 4)]
+    assert sorted(tuple(r) for r in vs.read_published(spark, root, "a", 1).select("run_id", "x").collect()) == [(1, 1), (2, 1)]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    import numpy as np
+
+    kind = np.dtype([("pad", "u1"), ("x", "<f8"), ("y", "<f4"), ("z", "<f4"), ("intensity", "<f4")])
+    rng = np.random.default_rng(4)
+    data = np.zeros(10_007, dtype=kind)
+    for c in ("x", "y", "z", "intensity"):
+        data[c] = rng.normal(size=len(data))
+    data["z"][5] = np.nan
+    head = b"ply\nformat binary_little_endian 1.0\nelement vertex 10007\nproperty uchar pad\nproperty double x\nproperty float y\nproperty float z\nproperty float intensity\nelement face 0\nend_header\n"
+    (tmp_path / "big.ply").write_bytes(head + data.tobytes() + b"trailing")
+    line = b"ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    (tmp_path / "text.ply").write_bytes(line + b"1 2 3\n4 5 6\n7 8 9\n")
+    (tmp_path / "none.ply").write_bytes(line.replace(b"vertex 3", b"vertex 0"))
+    ranges = pr.read_point_ranges(spark, str(tmp_path), range_bytes=20_000)
+    assert ranges.rdd.getNumPartitions() >= 11
+    per = ranges.filter("path LIKE '%big%'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(per) >= 11 and max(r["count"] for r in per) <= 20_000 // kind.itemsize + 1
+    key = lambda df: sorted((r.path[-8:], r.x, r.y, r.z, r.intensity, r.observation_count) for r in df.collect())
+    assert key(ranges) == key(bi.read_point_files(spark, str(tmp_path)))
+
+
+def test_completed_map_in_one_call(spark):
+    points = spark.createDataFrame([(1, k, 0.05 * k, 0.0, float(k % 4), 1.0) for k in range(40)], "run_id long, idx long, x double, y double, z double, intensity double")
+    poses = spark.createDataFrame([(1, k * 10**9, float(k), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0) for k in range(3)], "run_id long, stamp_ns long, x double, y double, z double, qx double, qy double, qz double, qw double")
+    got = cm.read_completed_map(points, poses, voxel=0.5, stride=2, min_z=-1.0, max_z=1.5, base_from_sensor=(0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0))
+    assert got.voxels.count() == got.report.first().map_voxels
+    assert sorted((r.x, round(r.z, 9)) for r in got.poses.collect()) == [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)]
+    r = got.report.first()
+    assert (r.decoded_points, r.accepted_points, r.pose_messages) == (40, 10, 3)
+    assert [w.split(":")[0] for w in r.warnings] == ["points_filtered", "points_voxelized", "range_limits_not_applied"]
