@@ -50,14 +50,17 @@ _TABLE: list[np.ndarray] = []
 
 
 def _script_table() -> np.ndarray:
-    """For each code point: 0 if no letter, else 1 + number of its script. Built once a worker."""
+    """For each code point: 0 if no letter or mark, else 1 + number of its script. Built once a
+    worker, with a table of the marks: these stand in words, but make none alone."""
     if not _TABLE:
         starts = [a for a, _ in SCRIPT_STARTS]
-        out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+        out, marks = np.zeros(sys.maxunicode + 1, dtype=np.uint8), np.zeros(sys.maxunicode + 1, dtype=bool)
         for cp in range(0x323B0):  # letters end before this code point
-            if unicodedata.category(chr(cp))[0] in "LM":
+            category = unicodedata.category(chr(cp))[0]
+            if category in "LM":
                 out[cp] = 1 + SCRIPTS.index(SCRIPT_STARTS[bisect_right(starts, cp) - 1][1])
-        _TABLE.append(out)
+                marks[cp] = category == "M"
+        _TABLE.extend((out, marks))
     return _TABLE[0]
 
 
@@ -83,6 +86,9 @@ def words_of(texts: list[str]) -> Words:
     step = np.flatnonzero(np.diff(kind, prepend=0) != 0)
     begin = step[kind[step] > 0]
     end = np.append(step, len(code))[np.searchsorted(step, begin, side="right")]
+    letters = np.concatenate(([0], np.cumsum((kind > 0) & ~_TABLE[1][code])))
+    some = letters[end] > letters[begin]
+    begin, end = begin[some], end[some]
     length = end - begin
     if not len(begin):
         none = np.zeros(0, dtype=np.int64)

@@ -178,3 +178,25 @@ def test_class_probabilities_sum_to_one():
 
 def test_nothing_to_score(empty):
     assert maxent.score(empty, languages.held_out("doc_id", 7)).collect() == []
+
+
+def test_marks_alone_are_no_letters(spark):
+    """A variation selector or a lone accent makes no word; accents inside words stay."""
+    model = languages.fit(spark.read.parquet(SF))
+    texts = ["\u2764\ufe0f 123", "\u0301", "\u0301 \u0301\u0302 !", "e\u0301te\u0301 la ville et le pays", "abc \u0301"]
+    got = {r["doc_id"]: r for r in rows(languages.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model))}
+    assert [got[k]["lang_pred"] == "und" for k in range(5)] == [True, True, True, False, False]
+    assert got[0]["score"] == 0.0
+    kept = languages.filter_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, 0.5)
+    assert {r["doc_id"] for r in rows(kept)} <= {3, 4}
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.NOTICE_PHRASES, licenses.TAGS)
+    text = "see the mit license now " * 100_000 + "SPDX-License-Identifier: MIT " * 50_000
+    start = time.time()
+    found = scanner.scan(text)
+    assert time.time() - start < 20 and found["n_base"] == 100_000 and found["n_tags"] == 50_000
+    assert (found["first_word"], found["last_word"]) == (2, 499_997)
