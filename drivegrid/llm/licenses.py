@@ -76,14 +76,15 @@ def label_of(identifier: str) -> str:
     return _VERSION.sub("", low) or low
 
 
-def parse_expression(text: str) -> tuple[list[str], int | None] | None:
-    """Labels and class of the longest licence expression at the start of ``text``; None if
+def parse_expression(text: str, at: int = 0, end: int | None = None) -> tuple[list[str], int | None] | None:
+    """Labels and class of the longest licence expression at ``at`` (up to ``end``); None if
     there is none. A class is None when an identifier is not known."""
     output: list[tuple[tuple[str, ...], int | None]] = []
     stack: list[str] = []
     good = None
-    wants_name, depth, at = True, 0, 0
-    while match := _TOKEN.match(text, at):
+    wants_name, depth = True, 0
+    end = len(text) if end is None else end
+    while match := _TOKEN.match(text, at, end):
         token = match[1]
         low = token.lower()
         if low == "(" and wants_name:
@@ -156,18 +157,24 @@ class Scanner:
         line = f" {words.decode('latin-1')} " if words else ""
         n_words = line.count(" ") - 1 if line else 0
         starts, base, all_labels, spans = [], set(), set(), []
+        counted = blanks = 0  # blanks are counted on from the hit before
         for end, found in self._phrases.iter(line):
+            blanks += line.count(" ", counted, end)
+            counted = end
             for is_base, label, length in found:
-                start = line.count(" ", 0, end - length) - 1
-                spans.append((start, start + 1 + line.count(" ", end - length, end), label, is_base))
+                inner = line.count(" ", end - length, end)
+                start = blanks - inner - 1
+                spans.append((start, start + 1 + inner, label, is_base))
                 all_labels.add(label)
                 if is_base:
                     base.add(label)
                     starts.append(start)
-        rank, tagged = None, 0
+        rank, tagged, line_end = None, 0, -1
         for end, _ in self._tags.iter(text.translate(_LOWER_ASCII)):
-            line_end = text.find("\n", end)
-            parsed = parse_expression(text[end + 1:line_end if line_end >= 0 else len(text)])
+            if line_end < end:
+                line_end = text.find("\n", end)
+                line_end = line_end if line_end >= 0 else len(text)
+            parsed = parse_expression(text, end + 1, line_end)
             if parsed:
                 tagged += 1
                 all_labels.update(parsed[0])
