@@ -31,6 +31,18 @@ def null_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` does not have, near the wanted ones."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums over the whole table in ``order``, in two levels.
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drivegrid.llm.common import null_empty, written
+from drivegrid.llm.common import free_names, null_empty, written
 
 #: The white space that does not count.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -72,14 +72,13 @@ def exact_copies(df: DataFrame, row_id: str = "doc_id", text: str = "text", salt
 
 def keep_one(df: DataFrame, row_id: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``df`` that win their group, with all their columns, one row per text."""
-    winners = _winners(df, row_id, text, salts).select("digest", "keep_id")
-    won = df.withColumn("_digest", F.unhex(F.sha2(normalised(text), 256))).join(
-        winners, (F.col("_digest") == winners["digest"]) & F.col(row_id).eqNullSafe(winners["keep_id"]), "left_semi"
+    digest, rep, won_digest, won_id = free_names(df, "_digest", "_rep", "_won_digest", "_won_id")
+    winners = _winners(df, row_id, text, salts).select(F.col("digest").alias(won_digest), F.col("keep_id").alias(won_id))
+    won = df.withColumn(digest, F.unhex(F.sha2(normalised(text), 256))).join(
+        winners, (F.col(digest) == F.col(won_digest)) & F.col(row_id).eqNullSafe(F.col(won_id)), "left_semi"
     )
-    repeated = written(df.groupBy(row_id).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(row_id).alias("_rep")))
+    repeated = written(df.groupBy(row_id).agg(F.count("*").alias(won_id)).filter(F.col(won_id) > 1).select(F.col(row_id).alias(rep)))
     if repeated.isEmpty():  # only ids are read; no text moves again when ids are unique
-        return won.drop("_digest")
-    same = F.col(row_id).eqNullSafe(repeated["_rep"])
-    return won.join(repeated, same, "left_anti").unionByName(
-        won.join(repeated, same, "left_semi").dropDuplicates(["_digest"])
-    ).drop("_digest")
+        return won.drop(digest)
+    same = F.col(row_id).eqNullSafe(F.col(rep))
+    return won.join(repeated, same, "left_anti").unionByName(won.join(repeated, same, "left_semi").dropDuplicates([digest])).drop(digest)

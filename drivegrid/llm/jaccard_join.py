@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from drivegrid.llm.common import components, null_empty, running_totals, written
+from drivegrid.llm.common import components, free_names, null_empty, running_totals, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -322,5 +322,6 @@ def _assemble(signed: DataFrame, classes: DataFrame, every: DataFrame) -> DataFr
 
 def keep_one(df: DataFrame, row_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` that stay: one document of each component, with all columns."""
-    gone = near_copies(df, row_id, text, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, F.col(row_id) == F.col("_gone"), "left_anti")
+    (name,) = free_names(df, "_gone")
+    gone = near_copies(df, row_id, text, **options).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, F.col(row_id) == F.col(name), "left_anti")

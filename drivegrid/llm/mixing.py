@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivegrid.lib.ordered import index_rows
-from drivegrid.llm.common import null_empty, written
+from drivegrid.llm.common import free_names, null_empty, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 BUCKET_ROWS = 2048
@@ -179,12 +179,13 @@ def mix(
 
 def mixed(df: DataFrame, row_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The rows of ``df``, each repeated as often as the mix takes it."""
-    plan = mix(df, row_id, source, text=text, **options).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
-    ).filter("_copies > 0")
-    same = F.col(row_id).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    id_, src, size, copies, words, nth = free_names(df, "_id", "_source", "_size", "_copies", "_words", "_nth")
+    plan = mix(df, row_id, source, text=text, **options).filter("copies > 0").select(
+        F.col("doc_id").alias(id_), F.col("source").alias(src), F.col("size").alias(size), F.col("copies").alias(copies)
+    )
+    same = F.col(row_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(src)) & (F.col(words) == F.col(size))
     return (
-        df.withColumn("_words", word_count(text)).join(plan, same)
-        .withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+        df.withColumn(words, word_count(text)).join(plan, same)
+        .withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
         .select(*df.columns)
     )

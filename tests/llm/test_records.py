@@ -208,3 +208,17 @@ def test_added_tokens_have_their_ids(spark, text):
     assert ids == encode(text)
     got = rows(packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")))
     assert [(r["length"], r["ids_crc32"]) for r in got] == [(len(ids) + 1, zlib.crc32(np.array([*ids, 0], dtype="<u4").tobytes()))]
+
+
+def test_columns_named_like_those_used_inside(spark):
+    """Every name that an operator might use inside may be a column of the table."""
+    from drivegrid.llm import jaccard_join
+
+    names = ["_id", "_source", "_size", "_copies", "_words", "_nth", "_digest", "_rep", "_won_digest", "_won_id", "_gone", "_DIGEST_", "digest", "keep_id", "copies", "size"]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    texts = ["one two three four five six seven", "one two  three four five six seven", "other words stand here in this text", None]
+    df = spark.createDataFrame([(k, t, "en", "s", 1, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)], cols)
+    whole = {tuple(r) for r in df.collect()}
+    for kept in (exact_copies.keep_one(df), exact_copies.keep_one(df.unionByName(df)), jaccard_join.keep_one(df), mixing.mixed(df)):
+        assert kept.columns == df.columns and {tuple(r) for r in kept.collect()} <= whole
+    assert exact_copies.keep_one(df).count() == 3
