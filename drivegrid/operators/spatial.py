@@ -181,7 +181,9 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, point_keys, ring_key
     """(point, ring) pairs with the point inside or on the border.
 
     A ring edge is copied to the buckets of its own rows and of the ring's columns, so one
-    equi-join brings exactly the edges a parity count needs.
+    equi-join brings exactly the edges a parity count needs; points outside the ring's box drop
+    at once. A point has one bucket, so counting per (bucket, point, ring) needs no further
+    shuffle: the join's partitioning serves the aggregation too.
     """
     tol = 1.0e-9
     edges = ring_edges(rings, ring_keys)
@@ -193,14 +195,16 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, point_keys, ring_key
     clash = [k for k in ring_keys if k in point_keys and k not in shared]
     if clash:
         raise ValueError(f"rename {clash}: point and ring keys must differ")
-    j = p.join(e.drop("_x0", "_x1", "_y0", "_y1", "i"), [*shared, "_bx", "_by"])
     c = F.col
+    inside_box = (c("ux") >= c("_x0") - tol) & (c("ux") <= c("_x1") + tol) & (c("uy") >= c("_y0") - tol) & (c("uy") <= c("_y1") + tol)
+    j = p.join(e.drop("i"), [*shared, "_bx", "_by"]).filter(inside_box)
     crosses = (c("py") > c("uy")) != (c("qy") > c("uy"))
     cross_x = c("px") + (c("uy") - c("py")) * (c("qx") - c("px")) / F.nullif(c("qy") - c("py"), F.lit(0.0))
     odd = F.sum(F.when(crosses & (cross_x >= c("ux") - tol), 1).otherwise(0)) % 2 == 1
     border = F.bool_or(G.on_segment((c("px"), c("py")), (c("qx"), c("qy")), (c("ux"), c("uy"))))
-    g = j.groupBy(*point_keys, *ring_only).agg(odd.alias("_odd"), border.alias("on_border"))
-    return g.filter(F.col("_odd") | F.col("on_border")).drop("_odd")
+    rest = [k for k in (*point_keys, *ring_only) if k not in shared]
+    g = j.groupBy(*shared, "_bx", "_by", *rest).agg(odd.alias("_odd"), border.alias("on_border"))
+    return g.filter(F.col("_odd") | F.col("on_border")).select(*point_keys, *ring_only, "on_border")
 
 
 def polygon_spans(lines: DataFrame, rings: DataFrame, keys=EDGE, ring_key: str = "feature_id", size: float = 2.0) -> DataFrame:
