@@ -280,11 +280,19 @@ def node_status(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def run_statistics(edges: DataFrame) -> DataFrame:
-    """Passable, blocked and physical edges (one per reverse pair) and the narrowest width."""
+    """Passable, blocked and physical edges (one per reverse pair) and the narrowest width; with
+    ``errors`` also the physical edges of incomplete clearance, all and passable ones, and with
+    ``corridor_valid`` those without a proper corridor."""
     physical = F.col("reverse_of").isNull() | (F.col("edge_id") < F.col("reverse_of"))
+    more = []
+    if "errors" in edges.columns:
+        open_ = physical & F.array_contains("errors", "unknown_clearance")
+        more += [F.count_if(open_).alias("unknown_clearance_edges"), F.count_if(open_ & F.col("passable")).alias("passable_unknown_clearance_edges")]
+    if "corridor_valid" in edges.columns:
+        more.append(F.count_if(physical & ~F.col("corridor_valid")).alias("invalid_corridor_edges"))
     return edges.groupBy("run_id").agg(
         F.count("*").alias("edges"), F.count_if("passable").alias("passable_edges"), F.count_if(~F.col("passable")).alias("blocked_edges"),
-        F.count_if(physical).alias("physical_edges"), F.min(F.when(F.col("passable"), F.col("min_width"))).alias("min_width"),
+        F.count_if(physical).alias("physical_edges"), F.min(F.when(F.col("passable"), F.col("min_width"))).alias("min_width"), *more,
     )
 
 

@@ -212,11 +212,16 @@ def _(spark, d):
 
 
 @query("a15_run_statistics", LINKS + f""" SELECT run_id, count(*) AS edges, count(*) FILTER (passable) AS passable_edges, count(*) FILTER (NOT passable) AS blocked_edges,
- count(*) FILTER (edge_id % 4 <> 1) AS physical_edges, {Q('min(CASE WHEN passable THEN length END)')} AS min_width FROM links_v GROUP BY run_id""")
+ count(*) FILTER (edge_id % 4 <> 1) AS physical_edges, {Q('min(CASE WHEN passable THEN length END)')} AS min_width,
+ count(*) FILTER (edge_id % 4 <> 1 AND edge_id % 5 = 2) AS unknown_clearance_edges, count(*) FILTER (edge_id % 4 <> 1 AND edge_id % 5 = 2 AND passable) AS passable_unknown_clearance_edges,
+ count(*) FILTER (edge_id % 4 <> 1 AND edge_id % 7 = 3) AS invalid_corridor_edges FROM links_v GROUP BY run_id""")
 def _(spark, d):
     i = F.col("edge_id")
     e = links(spark, d).withColumns({"reverse_of": F.when(i % 4 == 1, i - 1).when(i % 4 == 0, i + 1), "min_width": F.col("length")})
-    return gr.run_statistics(e).select("run_id", "edges", "passable_edges", "blocked_edges", "physical_edges", q("min_width"))
+    open_ = F.when(i % 5 == 2, F.array(F.lit("other"), F.lit("unknown_clearance"))).otherwise(F.array().cast("array<string>"))
+    e = e.withColumns({"errors": open_, "corridor_valid": i % 7 != 3})
+    return gr.run_statistics(e).select(
+        "run_id", "edges", "passable_edges", "blocked_edges", "physical_edges", q("min_width"), "unknown_clearance_edges", "passable_unknown_clearance_edges", "invalid_corridor_edges")
 
 
 @query("v19_edge_issues", LINKS + """ SELECT edge_id, CASE WHEN passable THEN 'low confidence' WHEN edge_id % 3 = 0 THEN 'first_code' ELSE 'clearance failed' END AS reason FROM links_v WHERE NOT passable OR length < 10""")

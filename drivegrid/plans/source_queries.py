@@ -94,10 +94,14 @@ def _(spark, d):
     return gj.parse_route_geojson(gj.to_route_geojson(n, e, s))[2].select("edge_id", "i", q("x"), q("y"))
 
 
-@query("k3_route_geojson", BASE + f""" SELECT edge_id, CAST(edge_id * 2 + 1 AS BIGINT) AS from_id, CAST(edge_id * 2 + 2 AS BIGINT) AS to_id, {Q('length')} AS length FROM edges WHERE passable""")
+@query("k3_route_geojson", BASE + f""", zz AS (SELECT edge_id, max(z) FILTER (i = 0) AS z_start, max(z) FILTER (i = 49) AS z_end FROM samples_v GROUP BY 1)
+SELECT edge_id, CAST(edge_id * 2 + 1 AS BIGINT) AS from_id, CAST(edge_id * 2 + 2 AS BIGINT) AS to_id, {Q('length')} AS length, {Q('length / 9')} AS min_width, {Q('1 / length')} AS max_curvature, edge_id % 2 = 0 AS corridor_valid,
+ CASE WHEN edge_id % 2 = 0 THEN edge_id + 1 ELSE edge_id - 1 END AS reverse_of, {Q('z_start')} AS z_start, {Q('z_end')} AS z_end FROM edges JOIN zz USING (edge_id) WHERE passable""")
 def _(spark, d):
     n, e, s = small_graph(spark, d)
-    return gj.parse_route_geojson(gj.to_route_geojson(n, e, s))[1].select("edge_id", "from_id", "to_id", q("length"))
+    e = e.withColumns({"min_width": F.col("length") / 9, "max_curvature": 1 / F.col("length"), "corridor_valid": F.col("edge_id") % 2 == 0})
+    got = gj.parse_route_geojson(gj.to_route_geojson(n, e, s))[1]
+    return got.select("edge_id", "from_id", "to_id", q("length"), q("min_width"), q("max_curvature"), "corridor_valid", "reverse_of", q("z_start"), q("z_end"))
 
 
 @query("k4_corridor_geojson", BASE + """ SELECT edge_id, CAST(101 AS INTEGER) AS points, 101 AS coordinates FROM edges WHERE edge_id % 2 = 0""".replace("101 AS coordinates", "CAST(101 AS INTEGER) AS coordinates"))
@@ -131,6 +135,20 @@ def _(spark, d):
     return w.filter(F.col("yaw").isNotNull()).groupBy("edge_id").agg(F.count("*").alias("waypoints"))
 
 
+@query(
+    "k6_stop_waypoints",
+    BASE + f""", v AS (SELECT edge_id, max(s) FILTER (i = 7) AS a, max(s) FILTER (i = 8) AS b FROM arc3 GROUP BY 1)
+SELECT edge_id, edge_id + 1 AS stop_id, 'stop ' || edge_id AS stop_name, edge_id AS stop_edge_id, {Q('(a + b) / 2')} AS stop_edge_s, 3e0 AS stop_width FROM v""",
+)
+def _(spark, d):
+    """A stop halfway between two vertices of every edge."""
+    arc = arcs3(spark, d)
+    at = arc.groupBy("run_id", "edge_id").agg(((F.max(F.when(F.col("i") == 7, F.col("s"))) + F.max(F.when(F.col("i") == 8, F.col("s")))) / 2).alias("s"))
+    stops = at.withColumns({"stop_id": F.col("edge_id") + 1, "name": F.concat(F.lit("stop "), F.col("edge_id").cast("string")), "source_edge_id": F.col("edge_id"), "source_s": F.col("s"), "width": F.lit(3.0)})
+    w = gj.to_stop_waypoints(lines(spark, d), stops, 0.25)
+    return w.filter("stop_id IS NOT NULL AND yaw IS NOT NULL").select("edge_id", "stop_id", "stop_name", "stop_edge_id", q("stop_edge_s"), "stop_width")
+
+
 @query(
     "k10_run_report",
     with_views("points_v", "poses_v") + f""", a AS (SELECT run_id, count(*) AS points, {Q('avg(z)')} AS mean_z FROM points_v GROUP BY 1), b AS (SELECT run_id, count(*) AS poses, max(stamp_ns) - min(stamp_ns) AS span_ns FROM poses_v GROUP BY 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from drivegrid.operators import cells as ce
 from drivegrid.sources import binary as bi
 from drivegrid.sources import completed_map as cm
+from drivegrid.sources import map_files as mf
 from drivegrid.sources import point_ranges as pr
 from drivegrid.sources import text_tables as tt
 from drivegrid.sources import versions as vs
@@ -138,3 +139,29 @@ def test_completed_map_in_one_call(spark):
     r = got.report.first()
     assert (r.decoded_points, r.accepted_points, r.pose_messages) == (40, 10, 3)
     assert [w.split(":")[0] for w in r.warnings] == ["points_filtered", "points_voxelized", "range_limits_not_applied"]
+
+
+def test_described_maps(spark, tmp_path):
+    (tmp_path / "yaml").mkdir(), (tmp_path / "img").mkdir()
+    image = lambda name, body: (tmp_path / "img" / name).write_bytes(body)
+    image("a.pgm", b"P5\n3 2\n255\n" + bytes([0, 254, 205, 128, 0, 255]))
+    image("b.pgm", b"P2\n2 1\n100\n0 90\n")
+    image("short.pgm", b"P2\n2 2\n100\n0 90\n")
+    image("high.pgm", b"P2\n2 1\n100\n0 101\n")
+    write = lambda name, text: (tmp_path / "yaml" / name).write_text(text)
+    write("a.yaml", "image: '../img/a.pgm'\nresolution: 0.5\norigin: [-1.5, 2, 0.0]\nnegate: 0\noccupied_thresh: 0.65\nfree_thresh: 0.196\n")
+    write("b.yaml", f'image: "{tmp_path}/img/b.pgm"\nresolution: 1.0\nnegate: 1\nresolution: 0.25\n')
+    write("c.yaml", "resolution: 0\norigin: [1, x, 0]\nfree_thresh: 0.9\n")
+    for name in ("short", "high", "none"):
+        write(f"{name}.yaml", f"image: {tmp_path}/img/{name}.pgm\nresolution: 1\n")
+    got = mf.read_maps(spark, str(tmp_path / "yaml"), str(tmp_path / "img"))
+    grids = {r.path[-6:-5]: (r.resolution, r.origin_x, r.origin_y, r.width, r.height) for r in got.grids.collect()}
+    # the path of a leads through its own folder and is not normalised by the store
+    assert grids["b"] == (0.25, 0.0, 0.0, 2, 1)
+    cells = {(r.path[-6:-5], r.cx, r.cy): (r.obstacle, r.observed_free, r.unknown) for r in got.cells.collect()}
+    assert cells["b", 0, 0] == (False, True, False) and cells["b", 1, 0] == (True, False, False)
+    found = {(r.path.split("/")[-1], r.code) for r in got.violations.collect()}
+    assert {("c.yaml", k) for k in ("image_missing", "resolution_not_positive", "origin_invalid", "thresholds_invalid")} <= found
+    assert {("short.yaml", "image_truncated"), ("high.yaml", "pixel_out_of_range"), ("none.yaml", "image_not_found")} <= found
+    assert grids["a"] == (0.5, -1.5, 2.0, 3, 2)
+    assert cells["a", 0, 1] == (True, False, False) and cells["a", 1, 1] == (False, True, False) and cells["a", 2, 1] == (False, False, True) and cells["a", 2, 0] == (False, True, False)

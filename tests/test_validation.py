@@ -25,7 +25,7 @@ def checked(spark):
         9: [(4, 2), (6, 2), (6, 4), (5, 4), (5, 1.5)],  # crosses itself
         10: [(3, 6)],  # one vertex
         11: [(14.2, 1), (14.2, 6)],  # beside the wall
-        12: [(3 + 2 * math.cos(a / 6), 4 + 2 * math.sin(a / 6)) for a in range(10)],  # a bend
+        12: [(3 + 2 * math.cos(a / 20), 4 + 2 * math.sin(a / 20)) for a in range(32)],  # a bend
     }
     rows = [(1, e, i, float(x), float(y), 0.0) for e, pts in lines.items() for i, (x, y) in enumerate(pts)]
     line = spark.createDataFrame(rows, "run_id long, edge_id long, i long, x double, y double, z double")
