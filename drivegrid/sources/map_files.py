@@ -60,7 +60,7 @@ def read_maps(spark: SparkSession, descriptions: str, images: str) -> MapFiles:
     pixels are free unless negated; image rows run downwards. A faulty map gives violations
     and no cells; the others are not affected."""
     c = F.col
-    texts = spark.read.option("wholetext", True).text(descriptions).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = spark.read.text(descriptions, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     grids, bad = parse_descriptions(texts)
     # one spelling of a path: no scheme of local files, no steps back
     step = r"/(?!\.\.?/)[^/]+/\.\./"
