@@ -11,6 +11,7 @@ from drivegrid.lib.ordered import measured
 from drivegrid.operators import polylines as pl
 from drivegrid.operators import spatial as sp
 from drivegrid.operators import trajectory as tr
+from drivegrid.operators import validation as va
 from drivegrid.plans.cell_queries import CELLED, fixed_cells
 from drivegrid.plans.polyline_queries import ARC2, lines
 from drivegrid.plans.registry import query
@@ -92,6 +93,16 @@ def _(spark, d):
     return sp.edge_summary(clearance(spark, d)).select("edge_id", q("min_width"), q("confidence"), "clearance_complete", "narrow_samples", "passable")
 
 
+@query("v2_validate_edges", None)
+def _(spark, d):
+    """Every edge against the cells: clearance, corridor and body in one verdict."""
+    cells, grid = grid_cells(spark, d)
+    ls = lines(spark, d)
+    body = va.Body(front=0.6, rear=0.3, width=0.5, min_turning_radius=0.5)
+    out, _ = va.validate_edges(ls.select(*pl.EDGE).distinct(), ls, cells, grid, 0.5, body, max_length=40.0, half_width=1.5, ray_step=0.25)
+    return out.select("run_id", "edge_id", F.array_join("errors", ",").alias("errors"), "status", q("min_width"), q("confidence"))
+
+
 @query(
     "g5_self_intersections",
     ARC2 + """, zz AS (SELECT edge_id, (i * 7) % 50 AS i, x, y FROM samples_v),
