@@ -161,13 +161,13 @@ def terminal_successor(routes: DataFrame, edges: DataFrame) -> DataFrame:
     last = routes.groupBy("run_id", "route_id").agg(F.max_by("edge_id", "pos").alias("edge_id"))
     term = last.join(edges.select(*EDGE, F.col("to_id").alias("t_to"), *[F.col(c).alias(f"t_{c}") for c in ("ex", "ey", "ez", "eh")]), EDGE)
     term = term.withColumnRenamed("edge_id", "terminal_edge_id")
-    nxt = edges.withColumnsRenamed({"from_id": "t_to"}).select("run_id", "t_to", "edge_id", "to_id", "passable", "reverse_of", "sx", "sy", "sz", "sh")
-    out = term.join(nxt, ["run_id", "t_to"], "left")
-    per = out.groupBy("run_id", "route_id").agg(
-        F.count("edge_id").alias("n"), F.count_if(~F.col("passable")).alias("blocked"),
-        F.min(F.when(F.col("passable"), F.struct("edge_id", "to_id", "reverse_of", "sx", "sy", "sz", "sh", "t_ex", "t_ey", "t_ez", "t_eh"))).alias("s"),
-        F.first("terminal_edge_id").alias("terminal_edge_id"),
+    # the ways on are folded per node first: many routes that end at a busy node meet one row
+    way = F.struct("edge_id", "to_id", "reverse_of", "sx", "sy", "sz", "sh")
+    nxt = edges.groupBy("run_id", F.col("from_id").alias("t_to")).agg(
+        F.count("*").alias("n"), F.count_if(~F.col("passable")).alias("blocked"), F.min_by(way, F.when(F.col("passable"), F.col("edge_id"))).alias("s")
     )
+    zero = F.lit(0).cast("long")
+    per = term.join(nxt, ["run_id", "t_to"], "left").withColumns({"n": F.coalesce("n", zero), "blocked": F.coalesce("blocked", zero)})
     named = routes.join(edges.select(*EDGE, "from_id", "to_id", "reverse_of"), EDGE)
     taken = named.select("run_id", "route_id", F.explode(F.array_compact(F.array("edge_id", "reverse_of"))).alias("x")).distinct()
     reuse = per.select("run_id", "route_id", F.explode(F.array_compact(F.array("s.edge_id", "s.reverse_of"))).alias("x")).join(taken, ["run_id", "route_id", "x"], "left_semi").select("run_id", "route_id", F.lit(True).alias("reuse")).distinct()
@@ -175,8 +175,8 @@ def terminal_successor(routes: DataFrame, edges: DataFrame) -> DataFrame:
     loop = per.select("run_id", "route_id", F.col("s.to_id").alias("x")).join(on_route, ["run_id", "route_id", "x"], "left_semi").select("run_id", "route_id", F.lit(True).alias("loop"))
     r = per.join(reuse, ["run_id", "route_id"], "left").join(loop, ["run_id", "route_id"], "left")
     c = F.col
-    gap = V.dist3((c("s.t_ex"), c("s.t_ey"), c("s.t_ez")), (c("s.sx"), c("s.sy"), c("s.sz")))
-    jump = F.degrees(F.abs(V.normalize_angle(c("s.sh") - c("s.t_eh"))))
+    gap = V.dist3((c("t_ex"), c("t_ey"), c("t_ez")), (c("s.sx"), c("s.sy"), c("s.sz")))
+    jump = F.degrees(F.abs(V.normalize_angle(c("s.sh") - c("t_eh"))))
     code = (
         F.when(c("blocked") > 0, "terminal_successor_no_entry_or_impassable").when(c("n") == 0, "terminal_successor_missing")
         .when(c("n") > 1, "terminal_successor_branch_ambiguous").when(c("reuse"), "terminal_successor_reuses_named_edge")

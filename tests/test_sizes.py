@@ -29,3 +29,16 @@ def test_short_lines_cross_without_cells(spark):
     out = sp.self_intersections(line)
     assert [(r.edge_id, r.crossings, r.first_i) for r in out.collect()] == [(1, 1, 0)]
     assert "_bx" not in planned(out) and "_bx" in planned(sp.self_intersections(line.withColumn("i", F.col("i") + 0)))
+
+
+def test_next_edges_are_folded_before_the_join(spark):
+    """Routes that end at a busy node meet one row of it."""
+    from drivegrid.operators import graph as gr
+
+    e = spark.range(300).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("edge_id"), (F.col("id") % 2).alias("from_id"), (1 - F.col("id") % 2).alias("to_id"),
+                                (F.col("id") != 3).alias("passable"), F.lit(None).cast("long").alias("reverse_of"), *[F.lit(0.0).alias(c) for c in ("sx", "sy", "sz", "ex", "ey", "ez", "sh", "eh")])
+    out = gr.terminal_successor(e.select("run_id", F.col("edge_id").alias("route_id"), F.lit(0).alias("pos"), "edge_id"), e)
+    got = {(r.route_id % 2, r.code) for r in out.collect()}
+    assert got == {(0, "terminal_successor_no_entry_or_impassable"), (1, "terminal_successor_branch_ambiguous")}
+    folded = planned(out)
+    assert "min_by" in folded and "first(terminal_edge_id" not in folded
