@@ -42,3 +42,13 @@ def test_next_edges_are_folded_before_the_join(spark):
     assert got == {(0, "terminal_successor_no_entry_or_impassable"), (1, "terminal_successor_branch_ambiguous")}
     folded = planned(out)
     assert "min_by" in folded and "first(terminal_edge_id" not in folded
+
+
+def test_dense_points_are_multiplied_before_they_are_divided(spark):
+    """3 * (1/3) style shares are rounded twice: the SQL's points are x + (x1 - x) * k / n."""
+    rows = [(1, 1, 0, 0.1, 0.0, 0.0), (1, 1, 1, 5.0, 0.0, 0.0)]
+    line = measured(spark.createDataFrame(rows, "run_id long, edge_id long, i long, x double, y double, z double"))
+    got = [r.x for r in pl.densify(line, 0.1).orderBy("i").collect()]
+    n = len(got) - 1
+    want = [0.1 + (5.0 - 0.1) * k / n for k in range(n)] + [5.0]
+    assert got == want and want != [0.1 + (5.0 - 0.1) * (k / n) for k in range(n)] + [5.0]
