@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from drivegrid.functions.num import quantize, quantize_sql as Q
-from drivegrid.plans.graph_queries import ops as edit_log
+from drivegrid.plans.graph_queries import ops as edit_log, published
 from drivegrid.plans.registry import CHECKS, query
 from drivegrid.plans.tables import US, VIEWS, prepare, table, with_views
 from drivegrid.session import ensure_checkpoint_dir
@@ -96,7 +96,7 @@ def _(spark, d):
     rows.write.parquet(f"{root}/log")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/log")
     changes = jobs.run_available(jobs.stream_graph_edits(stream), f"{root}/out", f"{root}/cp")
-    return jobs.current_graph(changes)[1].select("run_id", "edge_id", "from_id", "to_id")
+    return jobs.current_graph(changes)[1].select("run_id", *[published(c) for c in ("edge_id", "from_id", "to_id")])
 
 
 @query("st1_stream_register", None)

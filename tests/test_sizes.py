@@ -52,3 +52,21 @@ def test_dense_points_are_multiplied_before_they_are_divided(spark):
     n = len(got) - 1
     want = [0.1 + (5.0 - 0.1) * k / n for k in range(n)] + [5.0]
     assert got == want and want != [0.1 + (5.0 - 0.1) * (k / n) for k in range(n)] + [5.0]
+
+
+def test_made_ids_do_not_meet_stored_ones(spark, tmp_path):
+    """Beyond three million links a made edge id is also the id of a stored edge."""
+    from compare import difference, duck
+
+    from drivegrid.plans import catalog
+
+    near = [3000000 + k for k in range(0, 400, 10)]  # stored edges of run 0 in the range of made ones
+    low = list(range(0, 400, 10))
+    rows = [(k, 3 * k + 1, "O", 100.0) for k in low + near]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duck(SF)
+    con.execute(f"CREATE OR REPLACE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    for name in ("g11_replay_edits_edges", "g11_invalid_edits"):
+        got = catalog.QUERIES[name](spark, str(tmp_path)).toArrow()
+        assert difference(got, con.sql(catalog.CHECKS[name]).to_arrow_table()) is None, name
