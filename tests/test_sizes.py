@@ -70,3 +70,14 @@ def test_made_ids_do_not_meet_stored_ones(spark, tmp_path):
     for name in ("g11_replay_edits_edges", "g11_invalid_edits"):
         got = catalog.QUERIES[name](spark, str(tmp_path)).toArrow()
         assert difference(got, con.sql(catalog.CHECKS[name]).to_arrow_table()) is None, name
+
+
+def test_long_segments_have_few_arc_buckets(spark):
+    """A segment has copies in proportion to the line's mean segment, not to its metres."""
+    far = 1.0e10
+    line = measured(spark.createDataFrame([(1, 1, i, i * far, 0.0, 0.0, i * far) for i in range(3)], "run_id long, edge_id long, i long, x double, y double, z double, s double"))
+    want = spark.createDataFrame([(1, 1, 0.25 * far), (1, 1, 1.5 * far), (1, 1, 9.0 * far)], "run_id long, edge_id long, t double")
+    assert sorted(r.x for r in pl.sample_at_arc(line, want).collect()) == [0.25 * far, 1.5 * far, 2.0 * far]
+    spans = spark.createDataFrame([(1, 1, 7, 0.5 * far, 1.5 * far)], "run_id long, edge_id long, slice_id long, s0 double, s1 double")
+    assert [r.x for r in pl.slice_lines(line, spans).orderBy("i").collect()] == [0.5 * far, far, 1.5 * far]
+    assert {(r.tx, r.ty) for r in pl.stable_tangent(line.drop("s"), 1.0).collect()} == {(1.0, 0.0)}
