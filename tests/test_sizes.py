@@ -81,3 +81,26 @@ def test_long_segments_have_few_arc_buckets(spark):
     spans = spark.createDataFrame([(1, 1, 7, 0.5 * far, 1.5 * far)], "run_id long, edge_id long, slice_id long, s0 double, s1 double")
     assert [r.x for r in pl.slice_lines(line, spans).orderBy("i").collect()] == [0.5 * far, far, 1.5 * far]
     assert {(r.tx, r.ty) for r in pl.stable_tangent(line.drop("s"), 1.0).collect()} == {(1.0, 0.0)}
+
+
+def test_dense_points_do_not_meet_in_a_shuffle(spark):
+    """Pieces and bearings are made within a segment: the same rows as from neighbours."""
+    from drivegrid.operators import spatial as sp
+    from drivegrid.sources import geo_json as gj
+
+    rows = [(1, e, i, x, y, 0.1 * i) for e in (1, 2) for i, (x, y) in enumerate([(0.0, 0.0), (3.0, 0.1), (3.0, 0.1), (2.0, 5.0 + e)][: 3 * e - 2 or 4])]
+    line = measured(spark.createDataFrame(rows, "run_id long, edge_id long, i long, x double, y double, z double"))
+    dense = measured(pl.densify(line, 0.3, planar=False))
+    for closed in (False, True):
+        want = pl.waypoint_yaw(dense, closed).select("edge_id", "i", "x", "y", "z", "yaw").collect()
+        got = gj.to_waypoints(line, 0.3, closed)
+        assert sorted(got.select("edge_id", "i", "x", "y", "z", "yaw").collect()) == sorted(want)
+        assert "_chunk" not in planned(got)
+    flat = measured(pl.densify(line, 0.3))
+    want = pl.segments(flat).select("edge_id", "x", "y", "x_n1", "y_n1").collect()
+    assert sorted(map(tuple, pl.dense_segments(line, 0.3).select("edge_id", "x", "y", "x1", "y1").collect())) == sorted(map(tuple, want))
+    cells = spark.createDataFrame([(1, 0, 0, False, False)], "run_id long, cx long, cy long, obstacle boolean, unknown boolean")
+    grid = spark.createDataFrame([(1, 0.0, 0.0, 4, 1)], "run_id long, origin_x double, origin_y double, width long, height long")
+    out = sp.trace_lines(line, cells, grid, 1.0)
+    assert {(r.outside, r.occupied, r.unknown) for r in out.collect()} == {(True, False, True)}
+    assert "_chunk" not in planned(out)
