@@ -117,15 +117,12 @@ def to_cells(df: DataFrame, resolution: float, x: str = "x", y: str = "y") -> Da
 
 def nearest_pose_per_cell(poses: DataFrame, grid: DataFrame, radius: float, resolution: float) -> DataFrame:
     """The nearest pose (earliest on ties) of every cell whose centre is within ``radius`` of
-    one.  ``grid`` has the same resolution.  min_by keeps one row per cell map-side."""
-    reach = int(math.ceil(radius / resolution))
+    one.  ``grid`` has the same resolution.  Every batch of poses keeps one row per cell, so the
+    cells around the poses are neither sorted nor shuffled as rows."""
     work = to_cells(with_grid(poses.select("run_id", "i", "x", "y", "z", "qx", "qy", "qz", "qw"), grid), resolution)
-    work = work.withColumn("yaw", V.q_yaw(V.quat()))
-    spread = spread_offsets(work, "cx", "cy", reach).filter(inside())
-    wx = G.cell_center(F.col("cx"), F.col("origin_x"), resolution)
-    wy = G.cell_center(F.col("cy"), F.col("origin_y"), resolution)
-    d2 = (wx - F.col("x")) * (wx - F.col("x")) + (wy - F.col("y")) * (wy - F.col("y"))
-    near = spread.withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    work = work.withColumn("yaw", V.q_yaw(V.quat())).select(*CELL, "i", "x", "y", "z", "yaw", "origin_x", "origin_y", "width", "height")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in work.schema if f.name not in ("origin_x", "origin_y", "width", "height"))
+    near = work.mapInPandas(_nearest_of_batch(radius, resolution), schema + ", d2 double")
     best = F.min_by(F.struct("i", "x", "y", "z", "yaw", "d2"), F.struct("d2", "i"))
     return near.groupBy(*CELL).agg(best.alias("p")).select(
         *CELL, F.col("p.i").alias("pose_i"), F.col("p.x").alias("pose_x"), F.col("p.y").alias("pose_y"),
@@ -133,6 +130,44 @@ def nearest_pose_per_cell(poses: DataFrame, grid: DataFrame, radius: float, reso
     )
 
 
+def _nearest_of_batch(radius: float, resolution: float):
+    reach = int(math.ceil(radius / resolution))
+
+    def first_of(np, run, cx, cy, d2, i):
+        """Positions of the smallest (d2, i) of every cell."""
+        order = np.lexsort((i, d2, cy, cx, run))
+        run, cx, cy = run[order], cx[order], cy[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (run[1:] != run[:-1]) | (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])
+        return order[new]
+
+    def nearest(batches):
+        import numpy as np
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            a = {c: pdf[c].to_numpy() for c in ("cx", "cy", "i", "x", "y", "origin_x", "origin_y", "width", "height")}
+            run = pdf["run_id"].factorize()[0]
+            rows, cxs, cys, d2s = [], [], [], []
+            for dx in range(-reach, reach + 1):
+                for dy in range(-reach, reach + 1):
+                    cx, cy = a["cx"] + dx, a["cy"] + dy
+                    ex = a["origin_x"] + (cx + 0.5) * resolution - a["x"]
+                    ey = a["origin_y"] + (cy + 0.5) * resolution - a["y"]
+                    d2 = ex * ex + ey * ey
+                    at = np.flatnonzero((cx >= 0) & (cy >= 0) & (cx < a["width"]) & (cy < a["height"]) & (d2 <= radius * radius))
+                    # one row per cell and offset before the offsets are put together
+                    at = at[first_of(np, run[at], cx[at], cy[at], d2[at], a["i"][at])]
+                    rows.append(at), cxs.append(cx[at]), cys.append(cy[at]), d2s.append(d2[at])
+            rows, cx, cy, d2 = (np.concatenate(v) for v in (rows, cxs, cys, d2s))
+            best = first_of(np, run[rows], cx, cy, d2, a["i"][rows])
+            out = pdf[["run_id", "cx", "cy", "i", "x", "y", "z", "yaw"]].iloc[rows[best]]
+            yield out.assign(cx=cx[best], cy=cy[best], d2=d2[best])
+
+    return nearest
+
+
 def assign_points(points: DataFrame, nearest: DataFrame, grid: DataFrame, resolution: float, crop: float | None = None) -> DataFrame:
     """Each point with the pose of its cell; ``crop`` also tests the exact distance. One row
     per cell on the right side, so a hot cell never multiplies; AQE splits it by points."""

@@ -104,3 +104,22 @@ def test_dense_points_do_not_meet_in_a_shuffle(spark):
     out = sp.trace_lines(line, cells, grid, 1.0)
     assert {(r.outside, r.occupied, r.unknown) for r in out.collect()} == {(True, False, True)}
     assert "_chunk" not in planned(out)
+
+
+def test_cells_around_poses_are_reduced_in_their_batch(spark):
+    """Every batch hands on one row per cell, ties go to the earliest pose."""
+    from drivegrid.operators import cells as ce
+
+    rows = [(1, i, 0.1 * (i // 2), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0) for i in range(40)]
+    poses = spark.createDataFrame(rows, "run_id long, i long, x double, y double, z double, qx double, qy double, qz double, qw double")
+    grid = spark.createDataFrame([(1, -2.0, -2.0, 16, 8)], "run_id long, origin_x double, origin_y double, width long, height long")
+    out = ce.nearest_pose_per_cell(poses, grid, 1.0, 0.5)
+    assert "Generate" not in planned(out)
+    want = {}
+    for _, i, x, y, *_ in rows:
+        for cx in range(16):
+            for cy in range(8):
+                d2 = (-2.0 + (cx + 0.5) * 0.5 - x) ** 2 + (-2.0 + (cy + 0.5) * 0.5 - y) ** 2
+                if d2 <= 1.0:
+                    want[cx, cy] = min(want.get((cx, cy), (9.0, 0)), (d2, i))
+    assert {(r.cx, r.cy): (r.d2, r.pose_i) for r in out.collect()} == want
