@@ -123,3 +123,11 @@ def test_cells_around_poses_are_reduced_in_their_batch(spark):
                 if d2 <= 1.0:
                     want[cx, cy] = min(want.get((cx, cy), (9.0, 0)), (d2, i))
     assert {(r.cx, r.cy): (r.d2, r.pose_i) for r in out.collect()} == want
+
+
+def test_unions_do_not_fix_the_number_of_partitions(spark):
+    """With 8 shuffle partitions ``i4_apply_rules`` failed at sf0.01: a union of 16 met a side of 8."""
+    from drivegrid.plans import tables
+
+    tables.view(spark, SF, "links_v")
+    assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
