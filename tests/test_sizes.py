@@ -131,3 +131,49 @@ def test_unions_do_not_fix_the_number_of_partitions(spark):
 
     tables.view(spark, SF, "links_v")
     assert spark.conf.get("spark.sql.unionOutputPartitioning") == "false"
+
+
+def curvature(spark, points, half_span=1.0):
+    rows = [(1, 1, i, x, y, 0.0) for i, (x, y) in enumerate(points)]
+    line = measured(spark.createDataFrame(rows, "run_id long, edge_id long, i long, x double, y double, z double"))
+    return pl.max_curvature(line, half_span)
+
+
+def test_curvature_is_not_sampled_along_straight_segments(spark):
+    """A corner of two long segments: some forty positions, not one every 0.1 m of 2 km."""
+    import math
+
+    out = curvature(spark, [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0)])
+    assert abs(out.first().max_curvature - math.sqrt(2.0)) < 1e-9
+    made = pl._curve_positions(
+        spark.createDataFrame([(0.0, 1000.0, 2000.0, 1.0, 19980)], "s double, s_n1 double, _total double, _h double, _last long"), 0.1
+    )
+    assert 10 <= made.count() <= 20
+    assert curvature(spark, [(0.0, 0.0), (500.0, 0.0), (1000.0, 0.0)]).first().max_curvature == 0.0
+
+
+def test_curvature_of_short_and_long_segments_equals_brute_force(spark):
+    """Segments of 0.05 to 9 m, so that points lie on the own, a near or a far segment."""
+    import math
+
+    pts, x = [], 0.0
+    for k in range(120):
+        x += (0.05, 0.3, 2.5, 9.0)[k // 5 % 4]
+        pts.append((x, math.sin(k * 1.7) * (0.04 if k // 5 % 4 == 0 else 0.5)))
+    s = [0.0]
+    for a, b in zip(pts, pts[1:]):
+        s.append(s[-1] + math.hypot(b[0] - a[0], b[1] - a[1]))
+
+    def at(t):
+        t = min(max(t, 0.0), s[-1])
+        j = next((j for j in range(len(s) - 1) if s[j] < t <= s[j + 1]), 0)
+        r = (t - s[j]) / (s[j + 1] - s[j])
+        return tuple(p + (q - p) * r for p, q in zip(pts[j], pts[j + 1]))
+
+    def bend(t):
+        a, b, c = at(t - 1.0), at(t), at(t + 1.0)
+        area = abs((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+        return 2 * area / (math.dist(a, b) * math.dist(b, c) * math.dist(a, c))
+
+    want = max(bend(t) for t in [v for v in s if 1.0 <= v <= s[-1] - 1.0] + [min(1.0 + k * 0.1, s[-1] - 1.0) for k in range(int((s[-1] - 2.0 + 1e-9) / 0.1) + 1)])
+    assert abs(curvature(spark, pts).first().max_curvature - want) < 1e-9
