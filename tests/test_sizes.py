@@ -177,3 +177,26 @@ def test_curvature_of_short_and_long_segments_equals_brute_force(spark):
 
     want = max(bend(t) for t in [v for v in s if 1.0 <= v <= s[-1] - 1.0] + [min(1.0 + k * 0.1, s[-1] - 1.0) for k in range(int((s[-1] - 2.0 + 1e-9) / 0.1) + 1)])
     assert abs(curvature(spark, pts).first().max_curvature - want) < 1e-9
+
+
+def test_stop_waypoints_are_made_within_their_segment(spark):
+    """Stops between, on, at the ends of and beyond vertices; the points made never meet a shuffle."""
+    from drivegrid.lib import ordered as O
+    from drivegrid.operators import intervals as iv
+
+    rows = [(1, e, i, x, y, 0.0) for e in (1, 2) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 2.0), (1.0, 2.0), (3.0, 2.0)])]
+    line = measured(spark.createDataFrame(rows, "run_id long, edge_id long, i long, x double, y double, z double"))
+    stops = spark.createDataFrame([(1, 1, k, s) for k, s in enumerate([0.0, 0.37, 1.0, 1.0 + 5e-10, 2.5, 3.0, 4.9, 5.0, 5.5])], "run_id long, edge_id long, stop_id long, s double")
+    for closed in (False, True):
+        got = iv.stop_waypoints(line, stops, 0.3, closed)
+        want = pl.waypoint_yaw(O.measured(iv.insert_stops(line, stops, 0.3)), closed)
+        cols = ["edge_id", "i", "s", "x", "y", "stop_id", "yaw"]
+        assert sorted(map(tuple, got.select(cols).collect()), key=lambda r: r[:2]) == sorted(map(tuple, want.select(cols).collect()), key=lambda r: r[:2])
+        tree = planned(got)
+        assert tree.index("posexplode") < tree.index("Exchange")
+    one = iv.insert_stops(line, stops, 0.3).filter("edge_id = 1").orderBy("i").collect()
+    assert [r.i for r in one] == list(range(len(one))) and [r.s for r in one] == sorted(r.s for r in one)
+    assert [r.stop_id for r in one if r.stop_id is not None] == list(range(9))
+    # no vertex is left within a nanometre of a stop
+    plain, at = [r.s for r in one if r.stop_id is None], [r.s for r in one if r.stop_id is not None]
+    assert min(abs(a - b) for a in plain for b in at) > 1e-9
