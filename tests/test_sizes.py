@@ -218,3 +218,24 @@ def test_feature_ids_of_rules_are_not_shuffled(spark):
         (1, 5.0, 6.0): (True, False, 0.2, [8, 9]), (1, 6.0, 9.5): (False, True, 0.2, [9]), (1, 9.5, 10.0): (False, True, 1.0, []),
         (2, 0.0, 3.0): (False, False, 0.7, []),
     }
+
+
+def test_points_that_meet_segments_are_not_shuffled(spark):
+    """Many edges are near a point; its nearest one is found where they meet."""
+    from drivegrid.operators import spatial as sp
+    from drivegrid.plans.tables import prepare
+
+    prepare(spark)
+    seg = spark.range(40).select(
+        F.lit(1).cast("long").alias("run_id"), F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("i"), F.lit(-5.0).alias("x"), (F.floor(F.col("id") / 2) * 0.01).alias("y"),
+        (F.col("id") * 1.0).alias("z"), F.lit(0.0).alias("s"), F.lit(5.0).alias("x1"), (F.floor(F.col("id") / 2) * 0.01).alias("y1"), (F.col("id") * 1.0).alias("z1"), F.lit(10.0).alias("s1"))
+    clicks = spark.createDataFrame([(1, 1, 0.2, 0.051), (1, 2, 0.2, 9.0), (1, 3, 0.2, 50.0)], "run_id long, anchor_id long, x double, y double")
+    points = spark.createDataFrame([(1, 0.2, 9.0 + k / 10, 7.0 + k) for k in range(3)], "run_id long, x double, y double, z double")
+    pairs = sp.near_pairs(clicks.withColumn("z", F.lit(0.0)), seg, 0.5, planar=True).groupBy(*sp.MEETING).agg(F.min("distance"))
+    tree = planned(pairs).split("Initial Plan")[-1]
+    assert tree.index("Join") < tree.index("Exchange") and "SortAggregate" not in tree
+    got = {r.anchor_id: (r.z, r.source) for r in sp.auto_elevation(clicks, seg, points).collect()}
+    assert got == {1: (10.0, "route"), 2: (7.0, "points"), 3: (None, "unavailable")}
+    flat = seg.withColumns({"z": F.lit(0.0), "z1": F.lit(0.0)})
+    near = sp.project_to_graph(clicks.withColumn("z", F.lit(0.0)), flat, 0.3, exhaustive=True).collect()
+    assert {(r.anchor_id, r.edge_id, round(r.distance, 9), r.ambiguous) for r in near} == {(1, 10, 0.001, True), (2, 38, 8.81, True), (3, 38, 49.81, True)}
