@@ -239,3 +239,13 @@ def test_points_that_meet_segments_are_not_shuffled(spark):
     flat = seg.withColumns({"z": F.lit(0.0), "z1": F.lit(0.0)})
     near = sp.project_to_graph(clicks.withColumn("z", F.lit(0.0)), flat, 0.3, exhaustive=True).collect()
     assert {(r.anchor_id, r.edge_id, round(r.distance, 9), r.ambiguous) for r in near} == {(1, 10, 0.001, True), (2, 38, 8.81, True), (3, 38, 49.81, True)}
+
+
+def test_few_cells_come_to_rays_and_bodies(spark):
+    """Cells of a measured size are broadcast: what is made per vertex is not shuffled to them."""
+    from drivegrid.plans import catalog
+
+    for name in ("j13_lateral_clearance", "j14_footprint_overlap"):
+        tree = planned(catalog.QUERIES[name](spark, SF)).split("Initial Plan")[-1]
+        assert "BroadcastHashJoin [run_id" in tree and "SortMergeJoin [run_id" not in tree
+        assert "SortAggregate" not in tree
