@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drivegrid.lib import ordered as O
+from drivegrid.lib.buckets import broadcast_if_small
+from drivegrid.session import cut_lineage
 from drivegrid.sources.text_tables import escape, unescape
 
 XYZ = ("x", "y", "z")
@@ -157,7 +159,8 @@ def _versions(rows: DataFrame, tags: Column, allowed: tuple[int, ...]) -> tuple[
     """The version of each run and what is wrong with it."""
     v = rows.filter(tags).withColumn("version", F.get("_f", F.lit(1)).try_cast("int"))
     ok = v.filter(F.col("version").isin(*allowed) & (F.size("_f") == 2))
-    per = ok.groupBy("run_id").agg(F.max("version").alias("version"))
+    # a row for every run, read several times: the lines themselves must not meet by run
+    per = cut_lineage(ok.groupBy("run_id").agg(F.max("version").alias("version")))
     gone = rows.select("run_id").distinct().join(per, "run_id", "left_anti").withColumn("line", F.lit(None).cast("bigint"))
     wrong = v.filter(~(F.col("version").isin(*allowed) & (F.size("_f") == 2)) | F.col("version").isNull())
     return per, [_violation(gone, "version_missing"), _violation(wrong, "version_unsupported")]
@@ -189,7 +192,7 @@ def parse_graph(lines: DataFrame) -> GraphRecords:
     c = F.col
     rows = _split(lines)
     version, faults = _versions(rows, c("_tag") == "VERSION", (1, 2))
-    rows = rows.join(version, "run_id", "left")
+    rows = rows.join(broadcast_if_small(version), "run_id", "left")
     two = c("version") == 2
     of = lambda tag: rows.filter(c("_tag") == tag)
     arity = {"VERSION": F.size("_f") != 2, "FRAME": F.size("_f") != 2, "NODE": _broken(NODE), "EDGE": F.when(two, _broken(EDGE_2)).otherwise(_broken(EDGE_1)),
@@ -242,7 +245,7 @@ def parse_rules(lines: DataFrame) -> RuleRecords:
     c = F.col
     rows = _split(lines)
     version, faults = _versions(rows, c("_tag").endswith("SEMANTICS"), (1, 2))
-    rows = rows.join(version, "run_id", "left")
+    rows = rows.join(broadcast_if_small(version), "run_id", "left")
     of = lambda tag: rows.filter(c("_tag") == tag)
     long_ = F.size("_f") == len(SPAN_LONG) + 1
     span_bad = F.when(long_, _broken(SPAN_LONG)).otherwise(_broken(SPAN_SHORT))

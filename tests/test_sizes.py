@@ -249,3 +249,16 @@ def test_few_cells_come_to_rays_and_bodies(spark):
         tree = planned(catalog.QUERIES[name](spark, SF)).split("Initial Plan")[-1]
         assert "BroadcastHashJoin [run_id" in tree and "SortMergeJoin [run_id" not in tree
         assert "SortAggregate" not in tree
+
+
+def test_lines_of_a_file_do_not_meet_their_version_by_run(spark):
+    """One file may hold most of the lines: its version comes to them."""
+    from drivegrid.plans.tables import prepare
+    from drivegrid.sources import records as rc
+
+    prepare(spark)
+    lines = spark.createDataFrame([(1, k + 1, v) for k, v in enumerate(["VERSION\t2", "FRAME\tmap", "NODE\tbroken"])], "run_id long, line long, value string")
+    got = rc.parse_graph(lines)
+    tree = planned(got.samples)
+    assert "BroadcastHashJoin [run_id" in tree and "SortMergeJoin" not in tree
+    assert [r.code for r in got.violations.collect()] == ["malformed_record"]
