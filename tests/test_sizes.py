@@ -262,3 +262,19 @@ def test_lines_of_a_file_do_not_meet_their_version_by_run(spark):
     tree = planned(got.samples)
     assert "BroadcastHashJoin [run_id" in tree and "SortMergeJoin" not in tree
     assert [r.code for r in got.violations.collect()] == ["malformed_record"]
+
+
+def test_stationary_filter_computes_its_poses_once(spark):
+    """Every round reads the poses again; before, each read came from the source anew."""
+    from drivegrid.operators import trajectory as tr
+
+    n, read = 600, spark.sparkContext.accumulator(0)
+
+    def pose(i):
+        read.add(1)
+        return 1, i, 0.1 * i, 0.0, 0.0
+
+    poses = spark.createDataFrame(spark.sparkContext.range(n, numSlices=3).map(pose), "run_id long, i long, x double, y double, z double")
+    got = tr.remove_stationary(poses, 0.95, chunk_rows=64).orderBy("i").collect()
+    assert [round(r.x * 10) for r in got] == [*range(0, n, 10), n - 1] and [r.i for r in got] == list(range(len(got)))
+    assert read.value == n
