@@ -278,3 +278,52 @@ def test_stationary_filter_computes_its_poses_once(spark):
     got = tr.remove_stationary(poses, 0.95, chunk_rows=64).orderBy("i").collect()
     assert [round(r.x * 10) for r in got] == [*range(0, n, 10), n - 1] and [r.i for r in got] == list(range(len(got)))
     assert read.value == n
+
+
+def test_long_segments_sweep_by_their_extreme_poses(spark, monkeypatch):
+    """Open and closed lines of long and short segments against all poses and outline points. Before,
+    every pose of a line was looked up on its own, three rows each."""
+    import numpy as np
+    from drivegrid.operators import corridor as co
+
+    lines = {
+        1: [(0, 0), (40, 3), (81, -2), (83, 30), (83.2, 30.1), (40, 31)],
+        2: [(0, 0), (30, 0), (30, 20), (-5, 22), (0, 0)],
+        3: [(0.3 * k, 0.05 * (k % 3)) for k in range(30)],
+    }
+    rows = [(1, e, i, float(x), float(y), 0.0) for e, line in lines.items() for i, (x, y) in enumerate(line)]
+    asked, sample = [], pl.sample_at_arc
+    monkeypatch.setattr(pl, "sample_at_arc", lambda line, targets, *a, **k: asked.append(targets.groupBy("edge_id").count().collect()) or sample(line, targets, *a, **k))
+    got = co.swept_corridor(spark.createDataFrame(rows, "run_id long, edge_id long, i long, x double, y double, z double"), 0.8, 0.9, 0.3).collect()
+    got = {(r.edge_id, r.i): (r.left_offset, r.right_offset) for r in got}
+    assert len(got) == len(rows)
+    a, b = np.array(co.outline(0.8, 0.9, 0.3)).T
+    for e, line in lines.items():
+        p = np.array(line, dtype=float)
+        d = np.hypot(*np.diff(p, axis=0).T)
+        s, closed, last = np.r_[0, np.cumsum(d)], e == 2, len(p) - 1
+        total, cap = s[-1], max(0.1, 0.5 * d.max() + 0.1)
+        t = total * np.arange(np.ceil(total / 0.1) + 1) / np.ceil(total / 0.1)
+        at = lambda w: np.array([np.interp(w % total if closed else w, s, p[:, k]) for k in (0, 1)])
+        u = at(t + 0.25) - at(t - 0.25)
+        (px, py), (ux, uy) = at(t), u / np.hypot(*u)
+        x, y = px[:, None] + ux[:, None] * a - uy[:, None] * b, py[:, None] + uy[:, None] * a + ux[:, None] * b
+        wide = np.full((last + 1, 2), 0.4)
+        for i in range(last + 1):
+            one, two = (p[1], p[-2]) if closed and i in (0, last) else (p[min(i + 1, last)], p[max(i - 1, 0)])
+            tx, ty = (one - two) / np.hypot(*(one - two))
+            along, left = (x - p[i, 0]) * tx + (y - p[i, 1]) * ty, (y - p[i, 1]) * tx - (x - p[i, 0]) * ty
+            ok = np.abs(along) <= cap
+            if not closed:
+                ok |= ((i == 0) & (along <= 0) & (along >= -0.35)) | ((i == last) & (along >= 0) & (along <= 0.95))
+            seen = np.zeros(len(t), dtype=bool)
+            for turn in (-1, 0, 1) if closed else (0,):
+                gap = s[i] + turn * total - t
+                seen |= (gap >= -0.3 - cap) & (gap <= 0.9 + cap) & ((np.abs(gap) <= 0.5 * total) | (not closed))
+            ok &= seen[:, None]
+            wide[i] = max(0.4, left[ok].max()), max(0.4, -left[ok].min())
+        for i in range(last + 1):
+            want = wide[max(i - 1, 0) : i + 2].max(0) + 0.05
+            assert np.allclose(got[e, i], want, atol=1e-6), (e, i, got[e, i], want)
+    count = {r.edge_id: r["count"] for r in asked[0]}
+    assert count.get(1, 0) < 100 and count.get(2, 0) < 100
