@@ -187,3 +187,22 @@ def test_a_chain_of_near_lanes_does_not_collapse(spark):
 def test_empty_table(spark):
     none = drive(spark, [(0, 0, 0)]).filter("false")
     assert tp.cluster_revisits(none).count() == 0
+
+
+def test_revisited_components_need_no_pairs(spark):
+    """The components of the table of all pairs, which grows with the square of a run, from a few
+    links a cell: sparse wanderings beside a stretch driven again and again."""
+    import math
+    import random
+
+    from drivegrid.operators import graph as gr
+
+    rng, rows = random.Random(3), []
+    for run, (n, wide) in enumerate([(500, 12.0), (500, 4.0), (400, 0.5)]):
+        for i in range(n):
+            rows.append((run, i, rng.random() * wide, rng.random() * wide * (0.1 + 0.9 * (i % 5 == 0)), rng.random() * 0.6, 0.02 * i * (1 + run), rng.uniform(-math.pi, math.pi), i % 97 == 0))
+    poses = spark.createDataFrame(rows, "run_id long, i long, x double, y double, z double, s double, heading double, cusp boolean")
+    want = gr.revisit_places(gr.revisit_pairs(poses)).select("run_id", "node", "component").collect()
+    got = gr.revisit_components(poses).collect()
+    assert len(got) == len(want) > 500 and len({(r.run_id, r.component) for r in want}) > 5
+    assert {tuple(r) for r in got} == {tuple(r) for r in want}
