@@ -117,3 +117,55 @@ def test_a_hub_of_the_streamed_graph_is_written_once_a_call(monkeypatch):
             assert handle.maps["nodes"].writes == 2 and handle.maps["edges"].writes == 200
     assert graphs[0] == graphs[1] and set(graphs[0][1]) == {(k,) for k in range(1, 400, 2)}
     assert graphs[0][0][(2,)][0] == 5.0 and len(graphs[0][0][(1,)][3].split(",")) == 200
+
+
+def test_vertices_follow_drives_that_meet_their_own_poses(spark):
+    """Guesses go wrong where a vertex inside a segment lies on another pose; the result is that of matching by place."""
+    import random
+
+    from drivegrid.operators import authoring as au
+
+    rng, poses, vertices = random.Random(4), [], []
+    for run in range(1, 7):
+        # a walk on a grid of 2 m with midpoints that are poses of other passes
+        at = [(0.0, 0.0)]
+        while len(at) < 60:
+            x, y = at[-1]
+            dx, dy = rng.choice([(2, 0), (-2, 0), (0, 2), (0, -2), (1, 0), (0, 1)])
+            at.append((x + dx, y + dy))
+        poses += [(run, i, x, y, 0.0, 0.0, 0.0, 0.0, 1.0) for i, (x, y) in enumerate(at)]
+        line = []
+        for a, b in zip(at, at[1:]):
+            line += [a] + ([((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)] if rng.random() < 0.4 else [])
+        line.append(at[-1])
+        if run == 3:
+            line[70] = (50.0, 50.0)
+        if run == 4:
+            line[0] = (9.0, 9.0)
+        vertices += [(run, k, x, y, 0.0) for k, (x, y) in enumerate(line)]
+    p = spark.createDataFrame(poses, "run_id long, i long, x double, y double, z double, qx double, qy double, qz double, qw double")
+    v = spark.createDataFrame(vertices, "run_id long, v long, x double, y double, z double")
+    seg = au.O.with_neighbours(p.withColumn("yaw", F.lit(0.0)), ["run_id"], "i", ["x", "y", "z", "yaw"], back=0, ahead=1)
+    want = sorted((r.run_id, r.v, r.i, r.ratio) for r in au._match_by_places(v, p, seg, 1e-6, 1.0).collect())
+    for rounds in (1, 4, 40):
+        got = [r for r in au.match_vertices_to_poses(v, p, rounds=rounds).collect()]
+        assert sorted((r.run_id, r.v, r.pose_i, r.ratio) for r in got if r.matches) == want and len(got) == len(vertices)
+    assert len([w for w in want if w[0] == 3]) == 70 and not [w for w in want if w[0] == 4]
+
+
+def test_vertices_are_not_paired_with_the_poses_of_a_cell(spark):
+    """A drive within one cell of a metre: no step sees more rows than a few times its vertices."""
+    from drivegrid.operators import authoring as au
+
+    n = 3000
+    p = spark.range(n).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("i"), (F.col("id") * 2e-4).alias("x"), F.lit(0.5).alias("y"), F.lit(0.0).alias("z"),
+                              *[F.lit(0.0).alias(k) for k in ("qx", "qy", "qz")], F.lit(1.0).alias("qw"))
+    v = p.select("run_id", F.col("i").alias("v"), "x", "y", "z")
+    called = []
+    places = au._match_by_places
+    au._match_by_places = lambda *a: called.append(1) or places(*a)
+    try:
+        assert au.match_vertices_to_poses(v, p).filter("matches AND pose_i = v").count() == n
+    finally:
+        au._match_by_places = places
+    assert not called
