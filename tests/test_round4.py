@@ -169,3 +169,88 @@ def test_vertices_are_not_paired_with_the_poses_of_a_cell(spark):
     finally:
         au._match_by_places = places
     assert not called
+
+
+def random_rings(rng, n, first, sides, wide):
+    """Star-shaped rings, many not convex, some with a corner on another ring's."""
+    import math
+
+    rows = []
+    for r in range(first, first + n):
+        cx, cy, k = rng.uniform(0, 6), rng.uniform(0, 6), rng.choice(sides)
+        rows += [(1, r, i, cx + wide * rng.uniform(0.3, 1) * math.cos(2 * math.pi * i / k), cy + wide * rng.uniform(0.3, 1) * math.sin(2 * math.pi * i / k)) for i in range(k)]
+    return rows
+
+
+def by_ring(rows):
+    out = {}
+    for _, r, _, x, y in rows:
+        out.setdefault(r, []).append((x, y))
+    return out
+
+
+def holds(ring, x, y):
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (ay > y) != (by > y) and ax + (y - ay) * (bx - ax) / (by - ay) >= x:
+            odd = not odd
+    return odd
+
+
+def touching(a, b):
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    if any(holds(b, *p) for p in a) or any(holds(a, *p) for p in b):
+        return True
+    sides = lambda r: list(zip(r, r[1:] + r[:1]))
+    return any(turn(p, q, r) * turn(p, q, s) < 0 and turn(r, s, p) * turn(r, s, q) < 0 for p, q in sides(a) for r, s in sides(b))
+
+
+def between(ring, step):
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        n = max(1, math.ceil(math.dist((ax, ay), (bx, by)) / step))
+        yield from ((ax + (bx - ax) * t / n, ay + (by - ay) * t / n) for t in range(n))
+
+
+def test_rings_meet_in_their_cell_and_pairs_do_not_leave_it(spark, monkeypatch):
+    """Points in rings, rings in rings and overlaps against brute force, also when a cell is spread over calls."""
+    import random
+
+    from drivegrid.lib import rings as R
+    from drivegrid.operators import quality as qu
+    from drivegrid.operators import spatial as sp
+
+    rng = random.Random(9)
+    ring = "run_id long, ring_id long, i long, x double, y double"
+    big, small = random_rings(rng, 40, 100, (3, 4, 6, 9), 2.0), random_rings(rng, 60, 500, (3, 5, 6), 0.5)
+    a, b = by_ring(small), by_ring(big)
+    spots = [(1, k, rng.uniform(-1, 7), rng.uniform(-1, 7)) for k in range(300)]
+    # corners are on the border
+    spots += [(1, 1000 + k, x, y) for k, (_, _, _, x, y) in enumerate(big[:20])]
+    f = lambda rows, name: spark.createDataFrame(rows, ring.replace("ring_id", name))
+    p = spark.createDataFrame(spots, "run_id long, k long, x double, y double")
+    poses = spark.createDataFrame([(1, k, x, y, 0.3 * k) for _, k, x, y in spots[:40]], "run_id long, i long, x double, y double, yaw double")
+    for pairs in (4_000_000, 50):
+        monkeypatch.setattr(R, "PAIRS_A_GROUP", pairs)
+        monkeypatch.setattr(R, "PAIRS_A_BLOCK", pairs)
+        inside = sp.points_in_polygons(p, f(big, "ring_id"), ["run_id", "k"], ["run_id", "ring_id"])
+        got = {(r.k, r.ring_id) for r in inside.collect()}
+        assert got >= {(k, r) for _, k, x, y in spots for r, c in b.items() if holds(c, x, y)}
+        assert {g for g in got if g[0] < 1000} == {(k, r) for _, k, x, y in spots[:300] for r, c in b.items() if holds(c, x, y)}
+        assert {(1000 + k, big[k][1]) for k in range(20)} <= got
+        over = sp.polygon_overlaps(f(small, "a_id"), f(big, "b_id"), "a_id", "b_id")
+        got = [(r.a_id, r.b_id) for r in over.collect()]
+        assert len(got) == len(set(got)) and set(got) == {(m, n) for m, c in a.items() for n, d in b.items() if touching(c, d)}
+        held = sp.polygon_contained(f(small, "a_id"), f(big, "b_id"), "a_id", "b_id", step=0.05)
+        want = {(m, n) for m, c in a.items() for n, d in b.items() if all(holds(d, *s) for s in between(c, 0.05))}
+        assert {(r.a_id, r.b_id) for r in held.collect()} == want and want
+        out = qu.swept_containment(poses, f(big, "ring_id"), 1.0, 0.5, 0.8, step=0.25)
+        want = 0
+        for _, k, x, y in spots[:40]:
+            for u in range(7):
+                for v in range(5):
+                    lx, ly, c, s = -0.5 + 1.5 * u / 6, -0.4 + 0.8 * v / 4, math.cos(0.3 * k), math.sin(0.3 * k)
+                    want += not any(holds(d, x + c * lx - s * ly, y + s * lx + c * ly) for d in b.values())
+        assert out.count() == want > 0
+    for df in (inside, over, held, out):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("FlatMapCoGroups") < min([plan.index(w) for w in ("Aggregate", "Join") if w in plan])
