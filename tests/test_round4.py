@@ -254,3 +254,19 @@ def test_rings_meet_in_their_cell_and_pairs_do_not_leave_it(spark, monkeypatch):
     for df in (inside, over, held, out):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.index("FlatMapCoGroups") < min([plan.index(w) for w in ("Aggregate", "Join") if w in plan])
+
+
+def test_few_points_meet_long_segments_in_few_cells(spark, monkeypatch):
+    """A small radius does not cut long segments into its cells: ten anchors, segments of 30 m."""
+    from drivegrid.operators import spatial as sp
+
+    seg = spark.range(400).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("edge_id"), F.lit(0).cast("long").alias("i"), (F.col("id") * 0.1).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"),
+                                  F.lit(0.0).alias("s"), (F.col("id") * 0.1 + 0.3).alias("x1"), F.lit(30.0).alias("y1"), F.lit(0.0).alias("z1"), F.lit(30.0).alias("s1"))
+    p = spark.range(10).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("anchor_id"), (F.col("id") * 4.0).alias("x"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(-5.0).alias("y"), F.lit(0.0).alias("z"))
+    copies, cover = [], sp.cover_box
+    monkeypatch.setattr(sp, "cover_box", lambda *a, **k: copies.append(cover(*a, **k)) or copies[-1])
+    got = sorted((r.anchor_id, r.edge_id, round(r.distance, 9)) for r in sp.nearest_segments(p, seg, 1e-3).collect())
+    assert got == [(k, 40 * k, 0.0) for k in range(0, 10, 2)]
+    assert copies[0].count() <= 4 * 400
+    # anchors of one place, and none at all
+    assert sp.meeting_size(p.filter("anchor_id = 3"), 1e-3) >= 0.05 and sp.nearest_segments(p.filter("anchor_id > 99"), seg, 1e-3).count() == 0
