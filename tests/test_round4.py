@@ -270,3 +270,14 @@ def test_few_points_meet_long_segments_in_few_cells(spark, monkeypatch):
     assert copies[0].count() <= 4 * 400
     # anchors of one place, and none at all
     assert sp.meeting_size(p.filter("anchor_id = 3"), 1e-3) >= 0.05 and sp.nearest_segments(p.filter("anchor_id > 99"), seg, 1e-3).count() == 0
+
+
+def test_coverage_stops_at_the_first_near_segment(spark):
+    from drivegrid.operators import spatial as sp
+
+    line = measured(spark.createDataFrame([(1, i, 2.0 * i, 0.0, 0.0) for i in range(3)], "run_id long, i long, x double, y double, z double"))
+    seg = spark.range(50).select(F.lit(1).cast("long").alias("run_id"), F.col("id").alias("edge_id"), F.lit(0.0).alias("x"), (F.col("id") * 1e-3).alias("y"), F.lit(2.0).alias("x1"), (F.col("id") * 1e-3).alias("y1"))
+    out = sp.coverage(line, seg, 0.4)
+    # samples of 0.2 m: those up to x = 2.4 are near
+    assert [(r.samples, r.covered) for r in out.collect()] == [(21, 13)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
