@@ -281,3 +281,17 @@ def test_coverage_stops_at_the_first_near_segment(spark):
     # samples of 0.2 m: those up to x = 2.4 are near
     assert [(r.samples, r.covered) for r in out.collect()] == [(21, 13)]
     assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_samples_beyond_the_grid_are_one_row(spark):
+    """A line of 1 km beside a grid of ten cells has a row for each cell in it and one for the rest."""
+    from drivegrid.operators import spatial as sp
+
+    line = measured(spark.createDataFrame([(1, 1, 0, 0.1, 0.1, 0.0), (1, 1, 1, 1000.0, 0.1, 0.0)], "run_id long, edge_id long, i long, x double, y double, z double"))
+    grid = spark.createDataFrame([(1, 0.0, 0.0, 10, 10)], "run_id long, origin_x double, origin_y double, width long, height long")
+    cells = spark.createDataFrame([(1, 2, 0, True, False), (1, 3, 0, False, False)], "run_id long, cx long, cy long, obstacle boolean, unknown boolean")
+    per = sp.cell_counts(line, grid, 0.5)
+    assert per.count() == 11
+    total, off = per.groupBy().sum("n").first()[0], per.filter("NOT _in").first().n
+    r = sp.route_vs_grid(line, cells, grid, 0.5).first()
+    assert (r.obstacle_samples, r.off_map_samples) == (4, off) and r.unknown_samples == total - off - 8 and off > 7900
